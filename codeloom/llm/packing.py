@@ -10,6 +10,7 @@ repeated doc_ids are packed one by one. An empty table gives an empty result. Ex
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -29,19 +30,25 @@ END_ID = 0
 #: Search nodes, and fillings looked at around one document. They bound the search, not the data.
 NODES = 20_000
 FILLINGS = 48
-#: Distinct words whose ids a worker remembers.
-MEMO = 400_000
+#: Distinct parts of words whose ids a worker remembers.
+MEMO = 300_000
+#: Letters that have no decomposition to compose and lower-case letter by letter, digits and signs.
+PLAIN = re.compile("[\\t-\\r -~À-ÖØ-öø-ÿŒœ‘’“”„–—…]+").fullmatch
+#: The pre-tokeniser's pattern (a fixed value), over those characters in lower case.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-zß-öø-ÿœ0-9]+").findall
 
 
 # --- tokens -----------------------------------------------------------------------------------------
 
 
 class WordTokens:
-    """Ids of whole texts as little-endian uint32 bytes, with a memo of the ids of each word.
+    """Ids of whole texts as little-endian uint32 bytes, with a memo of the ids of parts of words.
 
     The vocabulary's normaliser and pre-tokeniser never join characters across ASCII white space, so a
-    text's ids are those of its words one after another. Texts that may hold an added token's string
-    go to the library whole.
+    text's ids are those of its words one after another. Words of plain letters, digits and signs are
+    parted further, as the pre-tokeniser parts them, and the parts that are new go to the library in one
+    string: each part ends with the one id that closes a word. Other words, and texts that may hold an
+    added token's string, go to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,25 +57,52 @@ class WordTokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.memo = Tokenizer.from_file(path), {}
+        self.tok = Tokenizer.from_file(path)
+        self.memo: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        vocabulary = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 4000):
+            own = parts[at : at + 4000]
+            ids = np.asarray(self.tok.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(own):
+                self.parts.update((p, self._whole(p)) for p in own)
+                continue
+            raw, at_byte = ids.tobytes(), 0
+            for p, end in zip(own, (ends * 4).tolist(), strict=True):
+                self.parts[p] = raw[at_byte:end]
+                at_byte = end
+
+    def _cut(self, text: str) -> list[str]:
+        """Parts of a text whose ids, one after another, are the text's."""
+        if PLAIN(text):
+            return PARTS(text.lower())
+        out: list[str] = []
+        for w in text.encode("utf-8", "surrogatepass").split():
+            s = w.decode("utf-8", "surrogatepass")
+            if PLAIN(s):
+                out += PARTS(s.lower())
+            else:
+                if s not in self.parts:
+                    self.parts[s] = self._whole(s)
+                out.append(s)
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        memo, words = self.memo, [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(memo) > MEMO:
-            memo.clear()
-        unseen = list({w for ws in words for w in ws if w not in memo})
-        for at in range(0, len(unseen), 20_000):
-            part = unseen[at : at + 20_000]
-            got = self.tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            memo.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        return [
-            self._whole(t) if any(m in t for m in self.marks) else b"".join(map(memo.__getitem__, ws))
-            for t, ws in zip(texts, words, strict=True)
-        ]
+        if len(self.parts) > MEMO:
+            self.parts.clear()
+        cut = [[] if any(m in t for m in self.marks) else self._cut(t) for t in texts]
+        known = self.parts
+        self._learn_parts([p for p in set().union(*cut) if p not in known])
+        return [b"".join(map(known.__getitem__, ps)) if ps else self._whole(t) for t, ps in zip(texts, cut, strict=True)]
 
 
 _TOKENS: dict[str, WordTokens] = {}
