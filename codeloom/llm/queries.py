@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sentencepiece_bpe, sharding
+from . import packing, sentencepiece_bpe, sharding, simhash
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLES: dict[str, str] = {}
