@@ -12,21 +12,20 @@ tables and extra columns need no rule beyond one result row per input row.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty, tokenizer_path
 
 MARK = "▁"
-#: Distinct words a worker remembers.
-MEMO = 250_000
-CHUNKS = regex.compile(f"{MARK}+[^{MARK}]*")
+#: Distinct parts of words a worker remembers.
+MEMO = 700_000
 
 
 class Mismatch(RuntimeError):
@@ -48,79 +47,100 @@ class PieceModel:
         self.byte_ids = {b[0]: i for i, b in self.bytes_of.items()}
         self.hidden = special - set(self.bytes_of)
         self.ids = {names[i]: i for i in range(n) if i not in special and not lib.is_unused(i)}
-        self.rank = {p: -lib.get_score(i) for p, i in self.ids.items()}
-        self.joined = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        # Words part from each other only if no piece holds white space behind another character.
-        self.by_word = not any(p[0] != MARK and p[1] == MARK for p in self.joined)
+        place = {x: k for k, x in enumerate(sorted({lib.get_score(i) for i in self.ids.values()}, reverse=True))}
+        #: Of each piece: its place by score above 54 bits, then room for a position, then its id in 22 bits.
+        self.code = {p: place[lib.get_score(i)] << 54 | i for p, i in self.ids.items()}
+        self.joined = joined = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        # A text may be cut before a mark if no piece holds a mark behind another character, and between a
+        # letter and a sign if no piece holds a letter before that sign.
+        letters = {c for p in self.ids for c in p if c.isalpha() and c < "\u0250"}
+        signs = [c for c in ",.;:!?|)\"'#*$%&-" if not any(x + c in joined for x in letters)]
+        kind = "".join(map(re.escape, sorted(letters)))
+        after = "".join(map(re.escape, [*signs, MARK]))
+        by_word = not any(p[0] != MARK and p[1] == MARK for p in joined)
+        self.cut = re.compile(f"{MARK}*[{kind}]+(?=[{after}]|\\Z)|{MARK}*[^{MARK}]+|{MARK}+").findall if by_word else lambda text: [text]
+        self.guard = next((c for c in "\n\t\x01" if not any(c in p for p in self.ids)), None)
         self.parts: dict[str, tuple[int, ...]] = {}
-        self.chunk_ids: dict[str, tuple[int, ...]] = {}
-        self.chunk_text: dict[str, bytes] = {}
-
-    def merge(self, part: str) -> tuple[int, ...]:
-        """Ids of one part by the agenda. A pair in the agenda is void once either symbol has changed."""
-        symbols, rank = list(part), self.rank
-        before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
-        agenda = [(r, i, pair) for i in range(len(symbols) - 1) if (r := rank.get(pair := symbols[i] + symbols[i + 1])) is not None]
-        heapify(agenda)
-        while agenda:
-            _, i, pair = heappop(agenda)
-            j = after[i] if symbols[i] else -1
-            if j < 0 or symbols[i] + symbols[j] != pair:
-                continue
-            symbols[i], symbols[j] = pair, ""
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (r := rank.get(new := pair + symbols[k])) is not None:
-                    heappush(agenda, (r, i, new))
-            if (h := before[i]) >= 0 and (r := rank.get(new := symbols[h] + pair)) is not None:
-                heappush(agenda, (r, h, new))
+        self.said: dict[str, bytes] = {}
+
+    def merge(self, part: str) -> list[int]:
+        """Ids of one part by the agenda. An entry is void once its two symbols no longer make its piece."""
+        symbols, code = list(part), self.code.get
+        if len(symbols) == 1:
+            agenda = []
+        else:
+            agenda = [c + (i << 22) for i, pair in enumerate(map(str.__add__, part, part[1:])) if (c := code(pair)) is not None]
+        if agenda:
+            before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
+            heapify(agenda)
+            while agenda:
+                entry = heappop(agenda)
+                i = entry >> 22 & 0xFFFFFFFF
+                j = after[i]
+                if j < 0 or not symbols[i]:
+                    continue
+                pair = symbols[i] + symbols[j]
+                if (c := code(pair)) is None or c + (i << 22) != entry:
+                    continue
+                symbols[i], symbols[j] = pair, ""
+                after[i] = k = after[j]
+                if k >= 0:
+                    before[k] = i
+                    if (c := code(pair + symbols[k])) is not None:
+                        heappush(agenda, c + (i << 22))
+                if (h := before[i]) >= 0 and (c := code(symbols[h] + pair)) is not None:
+                    heappush(agenda, c + (h << 22))
         out: list[int] = []
+        ids = self.ids
         for s in symbols:
             if s:
-                i = self.ids.get(s)
-                out += (i,) if i is not None else (self.byte_ids[b] for b in s.encode())
-        return tuple(out)
+                if s in ids:
+                    out.append(ids[s])
+                else:
+                    out += [self.byte_ids[b] for b in s.encode()]
+        return out
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a chunk, part by part; `chunk` is already escaped (white space as the mark)."""
-        out: tuple[int, ...] = ()
-        at, joined, parts = 0, self.joined, self.parts
-        for i in range(1, len(chunk) + 1):
-            if i == len(chunk) or chunk[i - 1 : i + 1] not in joined:
-                part = chunk[at:i]
-                if (got := parts.get(part)) is None:
-                    got = parts[part] = self.merge(part)
-                out += got
+    def encode_part(self, part: str) -> tuple[int, ...]:
+        """Ids of a part, cut once more wherever two neighbours stand together in no piece."""
+        if len(part) < 24 and part.lstrip(MARK).isalpha():
+            return tuple(self.merge(part))
+        out: list[int] = []
+        at, joined = 0, self.joined
+        for i in range(1, len(part) + 1):
+            if i == len(part) or part[i - 1 : i + 1] not in joined:
+                out += self.merge(part[at:i])
                 at = i
-        return out
+        return tuple(out)
 
-    def chunks(self, text: str) -> list[str]:
-        escaped = (MARK + text).replace(" ", MARK) if text else ""
-        return CHUNKS.findall(escaped) if self.by_word else [escaped] * bool(escaped)
+    def cuts(self, text: str) -> list[str]:
+        """Parts of a text, white space escaped as the mark, with the mark that the library puts first."""
+        return self.cut((MARK + text).replace(" ", MARK)) if text else []
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode the batch's new chunks and hold them against the library."""
-        if len(self.chunk_ids) > MEMO:
-            self.chunk_ids.clear(), self.chunk_text.clear()
+        """Encode the batch's new parts and hold them against the library."""
         if len(self.parts) > MEMO:
-            self.parts.clear()
-        new = list({c for cs in texts for c in cs if c not in self.chunk_ids})
+            self.parts.clear(), self.said.clear()
+        new = [c for c in set().union(*texts) if c not in self.parts]
         if not new:
             return
-        theirs = self.lib.encode([c[1:] if len(c) > 1 else " " for c in new], num_threads=1)
+        # The library puts a mark first. Parts that start otherwise stand behind a character that joins nothing.
+        guard = self.guard or ""
+        lead = self.lib.encode(guard) if guard else []
+        theirs = self.lib.encode([c[1:] if c[0] == MARK and len(c) > 1 else guard + c for c in new], num_threads=1)
         for c, ids in zip(new, theirs, strict=True):
-            own = self.encode_chunk(c)
-            if c != MARK and list(own) != ids:  # a lone mark can't be said to the library: it adds one itself
+            own = self.encode_part(c)
+            if c[0] != MARK or len(c) == 1:
+                ids = ids[len(lead) :] if guard else list(own)
+            if list(own) != ids:
                 raise Mismatch(f"{c!r}: {own} here, {ids} in the library")
-            self.chunk_ids[c] = own
-            self.chunk_text[c] = " ".join(map(str, own)).encode()
+            self.parts[c] = own
+            self.said[c] = " ".join(map(str, own)).encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts with the end id."""
-        cut = [self.chunks(t) for t in texts]
+        cut = [self.cuts(t) for t in texts]
         self.learn(cut)
-        return [[*chain.from_iterable(map(self.chunk_ids.__getitem__, cs)), self.end] for cs in cut]
+        return [[*chain.from_iterable(map(self.parts.__getitem__, cs)), self.end] for cs in cut]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces joined, runs of byte pieces read as UTF-8, the mark as a space, the first one dropped."""
@@ -169,13 +189,13 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         m = model(path)
         tail = str(m.end).encode()
         for b in slices(batches, 256):
-            cut = [m.chunks(t) for t in b.column(1).to_pylist()]
+            cut = [m.cuts(t) for t in b.column(1).to_pylist()]
             m.learn(cut)
             number, coded, plain = [], [], []
             for cs in cut:
-                ids = [*chain.from_iterable(map(m.chunk_ids.__getitem__, cs)), m.end]
+                ids = [*chain.from_iterable(map(m.parts.__getitem__, cs)), m.end]
                 number.append(len(ids))
-                coded.append(hashlib.sha256(b" ".join([*map(m.chunk_text.__getitem__, cs), tail])).hexdigest())
+                coded.append(hashlib.sha256(b" ".join([*map(m.said.__getitem__, cs), tail])).hexdigest())
                 plain.append(hashlib.sha256(m.lib.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(number, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())],
