@@ -253,8 +253,9 @@ def block_extents(lefts: list[bytes], rights: list[bytes], shared: list[int], co
     return [(int(h), length - int(lo)) if h >= 0 else o for o, lo, h in zip(out, low, high, strict=True)]
 
 
-def resolve(runs: list[Run], span: int, length: int = LENGTH) -> Iterator[tuple[np.ndarray, int, int]]:
-    """(occurrences, reach to the left, reach to the right) of the records of a bin that are repeated."""
+def resolve(runs: list[Run], span: int, length: int = LENGTH, lead: int = 0) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(occurrences, reach to the left, reach to the right) of the records of a bin that are repeated. ``lead``
+    bytes before the right side must agree as well."""
     block: list[tuple[bytes, bytes, int, list[np.ndarray]]] = []
 
     def close() -> Iterator[tuple[np.ndarray, int, int]]:
@@ -271,8 +272,8 @@ def resolve(runs: list[Run], span: int, length: int = LENGTH) -> Iterator[tuple[
         if block and shared == len(key) == len(last):
             block[-1][3].append(refs)
             continue
-        right, left, _ = key.split(END)
-        m = min(shared, len(right), len(block[-1][0]) if block else 0)
+        right, left, _ = key[lead:].split(END)
+        m = min(shared - lead, len(right), len(block[-1][0]) if block else 0)
         if block and m < length - span:
             yield from close()
             block = []
@@ -309,7 +310,8 @@ def _runs(bins: int, length: int, gram: int, span: int):  # noqa: ANN202
                         core = raw[max(0, start) : max(0, start + length - room)]
                         if start < 0 or len(core) < length - room:
                             continue
-                        key = raw[start : start + length] + END + raw[max(0, start - room) : start][::-1] + END
+                        # k leads the key: one place reached from two anchors must not look like two places
+                        key = bytes([k]) + raw[start : start + length] + END + raw[max(0, start - room) : start][::-1] + END
                         own.setdefault(bins + xxhash.xxh64_intdigest(core, k) % bins, {}).setdefault(key, []).append((t, start))
                         size += 1
                 if size >= RUN:
@@ -363,7 +365,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     def sort(table: pa.Table) -> pa.Table:
         own = table.column("bin")[0].as_py()
         rows = [np.empty((0, 4), np.int64)]
-        for refs, ml, mr in resolve([Run(r) for r in table.column("run").to_pylist()], span if own < bins else SPLIT - 1, length):
+        split = own >= bins
+        for refs, ml, mr in resolve([Run(r) for r in table.column("run").to_pylist()], SPLIT - 1 if split else span, length, int(split)):
             rows.append(np.column_stack([refs[:, :2], refs[:, 2] - ml, refs[:, 2] + mr]))
         got = np.concatenate(rows)
         return pa.table({n: pa.array(np.ascontiguousarray(got[:, i])) for i, n in enumerate(("d1", "d2", "lo", "hi"))})
