@@ -1 +1,6 @@
-"""Part of the code cross-reference engine; see the package README section."""
+"""Adapters of the test tables and the named queries over them."""
+
+from . import locating  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
