@@ -1,6 +1,6 @@
 """Adapters of the test tables and the named queries over them."""
 
-from . import locating  # noqa: F401
+from . import graphs, locating  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
