@@ -214,7 +214,7 @@ def includes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UPDATES_SQL = """updates AS (
     SELECT event_id AS seq, user_id AS path, CAST(floor(value / 10) AS BIGINT) AS ts, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS step,
-           CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'change' END AS change, CAST(floor(epoch(ts)) AS BIGINT) AS at
+           CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'change' END AS change, CAST(floor(epoch(ts)) AS BIGINT) AS "at"
     FROM events
 )"""
 
