@@ -116,3 +116,31 @@ def identifier_prefix(line: Column, column: Column) -> Column:
 
 def zigzag(n: Column) -> Column:
     return F.shiftleft(n, 1).bitwiseXOR(F.shiftright(n, 63))
+
+
+def comment_text(raw: Column) -> Column:
+    """A comment without its markers; the first line's indentation comes off the others as far as they have it."""
+    lines = F.split(raw, "\n")
+    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"\s*\*+/\s*$", ""), r"^\s*(?:/\*+[!<]*|//+[!<]*|\*(?!/))?", ""))
+    first = F.length(F.regexp_extract(F.get(bare, F.lit(0)), r"^(\s*)", 1))
+    cut = F.transform(bare, lambda x: F.substr(x, F.least(first, F.length(F.regexp_extract(x, r"^(\s*)", 1))) + 1))
+    return F.regexp_replace(F.array_join(cut, "\n"), r"^\n+|\s+$", "")
+
+
+def hover_with_initializer(declaration: Column, initializer: Column, size: Column, most: int, static: Column) -> Column:
+    """The declaration, ' = initializer' if its size stays below ``most``, 'static ' in front of statics."""
+    return F.concat(F.when(static, "static ").otherwise(""), declaration, F.when(size < most, F.concat(F.lit(" = "), initializer)).otherwise(""))
+
+
+def under_folder(path: Column, folders: list[tuple[str, str]]) -> Column:
+    """The path told by a workspace folder (name, real path) instead of its real path; the first that fits counts."""
+    out = path
+    for name, real in reversed(folders):
+        out = F.when(path.startswith(real), F.concat(F.lit(name), F.substr(path, F.lit(len(real) + 1)))).otherwise(out)
+    return out
+
+
+def available(candidates):  # noqa: ANN001, ANN201
+    """Completion candidates (label, accessible) that may be offered: no inaccessible ones, destructors or operators."""
+    label = F.col("label")
+    return candidates.where(F.col("accessible") & ~label.startswith("~") & ~label.startswith("operator"))
