@@ -226,14 +226,15 @@ def same_stem(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("jn20_related_files", f"""WITH s AS (SELECT page_id, url, {STEM.format('url')} AS stem FROM pages) SELECT a.page_id, count(*) AS n_related, min(b.page_id) AS first_related FROM s a JOIN s b ON a.stem = b.stem AND a.url <> b.url AND a.stem <> '' GROUP BY a.page_id""")
 def related(spark: SparkSession, sf: str) -> DataFrame:
-    """Other files of the same stem. Stems are counted first: a frequent stem is no pair of all its files."""
+    """Other files of the same stem, from sums and the two least files of each stem: no stem's files are paired or gathered."""
     own = A.table(spark, sf, "pages").select("page_id", "url", names.stem(F.col("url")).alias("stem")).where("stem <> ''")
     by_url = own.groupBy("stem", "url").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    w = Window.partitionBy("stem")
-    ranked = by_url.withColumn("total", F.sum("n").over(w)).withColumn("least", F.array_sort(F.collect_list(F.struct("first", "url")).over(w)))
-    other = F.filter("least", lambda x: x["url"] != F.col("url"))
-    met = own.join(ranked.select("stem", "url", (F.col("total") - F.col("n")).alias("n_related"), F.get(other, F.lit(0))["first"].alias("first_related")), ["stem", "url"])
-    return met.where("n_related > 0").select("page_id", "n_related", "first_related")
+    by_stem = by_url.groupBy("stem").agg(F.sum("n").alias("total"), F.min(F.struct("first", "url")).alias("least"))
+    met = by_url.join(by_stem, "stem")
+    second = met.where("url <> least.url").groupBy("stem").agg(F.min("first").alias("second"))
+    other = F.when(F.col("url") != F.col("least.url"), F.col("least.first")).otherwise(F.col("second"))
+    told = met.join(second, "stem").select("stem", "url", (F.col("total") - F.col("n")).alias("n_related"), other.alias("first_related"))
+    return own.join(told, ["stem", "url"]).select("page_id", "n_related", "first_related")
 
 
 @query("agg04_counterpart_vote", f"""WITH {A.INCLUDES_SQL}, v AS (SELECT i.file_id, p.page_id AS other, count(*) AS n FROM includes i JOIN pages p ON p.url = i.resolved_path AND p.page_id <> i.file_id GROUP BY ALL),
