@@ -66,3 +66,27 @@ def test_requests_wait_for_updates(spark, tmp_path):
     assert got[4] == at(9000)
     assert got.get(2, None) is None
     assert got.get(3, None) is None
+
+
+def test_open_documents(spark, tmp_path):
+    from codeloom.streaming import documents
+
+    rows = [
+        ("a", 1, "open", None, None, None, None, "one\ntwo"), ("a", 2, "change", 1, 0, 1, 3, "2"), ("b", 3, "change", None, None, None, None, "never opened"),
+        ("a", 4, "change", None, None, None, None, "all new"), ("a", 5, "close", None, None, None, None, None), ("a", 6, "change", 0, 0, 0, 0, "x"), ("a", 7, "open", None, None, None, None, "back"),
+    ]
+    events = spark.createDataFrame(rows, documents.EVENTS)
+    want = [("a", 1, 0, "one\ntwo"), ("a", 2, 1, "one\n2"), ("a", 4, 2, "all new"), ("a", 7, 0, "back")]
+    assert sorted(map(tuple, documents.replay(events).collect())) == want
+    for i in range(3):
+        events.where((F.col("seq") > i * 2) & (F.col("seq") <= (i * 2 + 2 if i < 2 else 99))).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    stream = spark.readStream.schema(documents.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "d"))
+    assert sorted(map(tuple, run(documents.follow(stream), "followed").collect())) == want
+
+
+def test_options(spark):
+    from codeloom.options import Options
+
+    o = Options(deny=["/test/"], allow=["keep"], path_mappings=["/a>/b"])
+    row = spark.range(1).select(o.indexed(F.lit("/x/test/y")).alias("p"), o.indexed(F.lit("/x/test/keep")).alias("q"), o.mapped(F.lit("/a/c")).alias("m")).first()
+    assert tuple(row) == (False, True, "/b/c")
