@@ -6,7 +6,6 @@ written to the shared checkpoint folder, so lineage stays short. Edges may have
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -18,8 +17,8 @@ LEVELS = 100
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='codeloom-', dir=os.environ.get('TMPDIR'))}")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='codeloom-')}")
     return df.checkpoint()
 
 
