@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, store, text_or_empty
+from .common import fresh, partitions, slices, store, text_or_empty
 from .components import components
 
 BITS = 64
@@ -162,7 +162,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id (of rows that share it, the one of the least text hash)."""
+    """``docs`` with one document of each component: that of the least doc_id. Equal rows count as one document; other texts that
+    share its id stay with it, and rows without an id stay."""
     kept = near_duplicates(docs, radius, words).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    nameless = docs.where(F.col("doc_id").isNull())
-    return docs.join(store(kept, "kept"), "doc_id", "left_semi").unionByName(nameless).select(*docs.columns)
+    (th,) = fresh(docs, "simhash_text")
+    # the join is dealt by doc_id, which serves the removal of equal rows as well
+    chosen = docs.withColumn(th, F.xxhash64("text")).join(store(kept, "kept").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", th])
+    return chosen.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -439,7 +439,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     changed = _finish(texts, spans, "new string", make, length).where("new is not null").toDF(d1, d2, new)
     changed = store(changed, "texts-changed")
     own = docs.withColumn(d1, F.xxhash64(text_or_empty())).withColumn(d2, F.xxhash64(F.lit(1), text_or_empty()))
-    met = own.join(changed, [d1, d2], "left").withColumn("text", F.coalesce(F.col(new), F.col("text")))
+    met = own.join(changed.hint("merge"), [d1, d2], "left").withColumn("text", F.coalesce(F.col(new), F.col("text")))
     if "n_chars" in docs.columns:
         met = met.withColumn("n_chars", F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return met.select(*docs.columns)
