@@ -21,13 +21,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """This application's part of the folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
         sc.setCheckpointDir(found)
-    return found
+    return f"{found.rstrip('/')}/codeloom-{sc.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application's operators have stored; results that are still to be read need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

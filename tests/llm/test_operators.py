@@ -418,3 +418,16 @@ def test_pipeline(spark, sf):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, before, sf).collect()
     check_packing(packed, [(r["doc_id"], r["text"]) for r in before.collect()])
+
+
+def test_stored_tables_can_be_cleaned(spark):
+    import os
+
+    from codeloom.llm import common
+
+    df = common.store(spark.range(3).toDF("x"), "probe")
+    assert df.count() == 3
+    folder = common.shared_dir(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    common.clean(spark)
+    assert not os.path.isdir(folder)
