@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,9 @@ from .common import partitions, slices, store, text_or_empty
 
 ORDER, BACKOFF = 3, 0.4
 #: Words of a chunk, distinct n-grams of a partition on average, distinct words a worker remembers.
-CHUNK, PART, MEMO = 1_500_000, 3_000_000, 300_000
-#: Hashes have this many bits; a range of them is a partition.
-HASH_BITS = 56
+CHUNK, PART, MEMO = 1_200_000, 3_000_000, 300_000
+#: A hash has so many bits more than it takes to number all n-grams: one n-gram in 2^SPARE shares its hash.
+SPARE = 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _MEMO: dict[bytes, int] = {}
 
@@ -45,7 +46,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def ngram_hashes(words: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
+def hash_bits(ngrams: int) -> int:
+    return min(64, max(40, ngrams.bit_length() + SPARE))
+
+
+def ngram_hashes(words: np.ndarray, first: np.ndarray, order: int, bits: int) -> np.ndarray:
     """The hash of the n-gram that ends at each word; of as many words as the document has up to there, at most `order`."""
     h = words.copy()
     n = len(words)
@@ -56,7 +61,7 @@ def ngram_hashes(words: np.ndarray, first: np.ndarray, order: int) -> np.ndarray
             h[at] = (h[at] ^ (words[at - k] + np.uint64(k) * MIX)) * MIX
             h[at] ^= h[at] >> np.uint64(31)
         h = (h ^ (h >> np.uint64(33))) * MIX
-    return h >> np.uint64(64 - HASH_BITS)
+    return h >> np.uint64(64 - bits)
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -67,7 +72,7 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
         part = TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
-            raw = zlib.compress(b" ".join(texts), 1)
+            raw = zstandard.compress(b" ".join(texts), 9)
             cols = [pa.array([part << 32 | number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([raw], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["chunk", "docs", "words", "text"])
 
@@ -90,23 +95,21 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def _positions(counts: list[int], blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a chunk, and for each word its document and that document's first word."""
-    words = word_hashes(zlib.decompress(blob).split())
+    words = word_hashes(zstandard.decompress(blob).split())
     n = np.array(counts, np.int64)
     starts = np.cumsum(n) - n
     return words, np.repeat(np.arange(len(n)), n), np.repeat(starts, n)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Sorted hashes as differences of seven bytes (HASH_BITS), byte by byte, so that the high ones compress."""
+    """Sorted hashes as differences, byte by byte, so that the high bytes compress."""
     gaps = np.diff(x, prepend=np.uint64(0)).astype("<u8")
-    return zlib.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(7, -1)
-    gaps = np.zeros((flat.shape[1], 8), np.uint8)
-    gaps[:, :7] = flat.T
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+    flat = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(flat.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -115,14 +118,15 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     held = store(chunks(docs), "lm-chunks")
     total = held.select(F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(partitions(spark), -(-order * total // PART))
-    edges = (np.arange(1, parts, dtype=object) * (1 << HASH_BITS) // parts).astype(np.uint64)
+    bits = hash_bits(order * total)
+    edges = (np.arange(1, parts, dtype=object) * (1 << bits) // parts).astype(np.uint64)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, counts, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words, _, first = _positions(counts, blob)
                 for k in range(1, order + 1):
-                    own, n = np.unique(ngram_hashes(words, first, k), return_counts=True)
+                    own, n = np.unique(ngram_hashes(words, first, k, bits), return_counts=True)
                     cut = [0, *np.searchsorted(own, edges).tolist(), len(own)]
                     some = [p for p in range(parts) if cut[p] < cut[p + 1]]
                     yield pa.RecordBatch.from_arrays(
@@ -157,7 +161,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
                 others = []  # of the n-gram of each order that ends at a word: occurrences in other documents
                 for k in range(1, order + 1):
                     totals = [np.frombuffer(zlib.decompress(a["totals"]), "<i8") for a in answer or () if a["n"] == k]
-                    own, at = np.unique(ngram_hashes(words, first, k), return_inverse=True)
+                    own, at = np.unique(ngram_hashes(words, first, k, bits), return_inverse=True)
                     _, mine, times = np.unique(doc * np.int64(max(1, len(own))) + at, return_inverse=True, return_counts=True)
                     others.append((np.concatenate(totals) if totals else np.empty(0, np.int64))[at] - times[mine])
                 length = np.array(counts, np.int64)
