@@ -60,18 +60,26 @@ def references_by_role(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("jn01_reference_counts", f"WITH {_refs(0, 0)} SELECT cursor_id, count(*) AS n_refs, count(DISTINCT file_id) AS n_files FROM places GROUP BY cursor_id")
 def reference_counts(spark: SparkSession, sf: str) -> DataFrame:
-    own = xref.references(_targets(spark, sf), _occ(spark, sf), cap=None)
-    return own.groupBy("cursor_id").agg(F.count("*").alias("n_refs"), F.countDistinct("file_id").alias("n_files"))
+    targets = _targets(spark, sf)
+    counted = _symbol_places(targets, _occ(spark, sf)).groupBy("usr").agg(F.count("*").alias("n_refs"), F.countDistinct("file_id").alias("n_files"))
+    return targets.join(counted, "usr").select("cursor_id", "n_refs", "n_files")
+
+
+def _symbol_places(targets: DataFrame, occ: DataFrame) -> DataFrame:
+    """Places of each target symbol, once however many cursors stand on it."""
+    return xref.references(targets.select(F.col("usr").alias("cursor_id"), "usr", "ekind").distinct(), occ, cap=None).withColumnRenamed("cursor_id", "usr")
 
 
 @query("flt06_references_in_folders", f"""WITH {_refs(0, 0)}
     SELECT p.cursor_id, count(*) AS n FROM places p JOIN documents d ON d.doc_id = p.file_id
     WHERE starts_with(d.source || '/' || d.doc_id || '.' || d.lang, 'src1/') OR starts_with(d.source || '/' || d.doc_id || '.' || d.lang, 'src2/') GROUP BY p.cursor_id""")
 def references_in_folders(spark: SparkSession, sf: str) -> DataFrame:
-    own = xref.references(_targets(spark, sf), _occ(spark, sf), cap=None)
+    targets = _targets(spark, sf)
+    own = _symbol_places(targets, _occ(spark, sf))
     path = F.concat_ws("/", "source", F.concat_ws(".", F.col("doc_id").cast("string"), "lang"))
     files = A.table(spark, sf, "documents").where(path.startswith("src1/") | path.startswith("src2/")).select(F.col("doc_id").alias("file_id"))
-    return own.join(files, "file_id", "left_semi").groupBy("cursor_id").agg(F.count("*").alias("n"))
+    counted = own.join(files, "file_id", "left_semi").groupBy("usr").agg(F.count("*").alias("n"))
+    return targets.join(counted, "usr").select("cursor_id", "n")
 
 
 DECLS = """, decls AS (
