@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores, each document scored by all the others.
 
-Documents are packed into chunks of bounded size. A chunk sends each distinct n-gram once, as sorted hashes cut
+Documents are packed into chunks of bounded size. A chunk sends each distinct n-gram once, as sorted 64-bit hashes cut
 by hash range, to the partition that keeps the counts of that range; the partition adds up all chunks and
 answers each with the totals of its n-grams, in the same order. Back in the chunk, totals less the document's
 own counts give the score of each word: the highest order whose n-gram occurs elsewhere, over the count of
@@ -30,8 +30,8 @@ from .common import partitions, slices, store, text_or_empty
 ORDER, BACKOFF = 3, 0.4
 #: Words of a chunk, distinct n-grams of a partition on average, distinct words a worker remembers.
 CHUNK, PART, MEMO = 1_200_000, 3_000_000, 300_000
-#: A hash has so many bits more than it takes to number all n-grams: one n-gram in 2^SPARE shares its hash.
-SPARE = 22
+#: Bits of a hash, at every size of the input.
+BITS = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _MEMO: dict[bytes, int] = {}
 
@@ -46,11 +46,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def hash_bits(ngrams: int) -> int:
-    return min(64, max(40, ngrams.bit_length() + SPARE))
-
-
-def ngram_hashes(words: np.ndarray, first: np.ndarray, order: int, bits: int) -> np.ndarray:
+def ngram_hashes(words: np.ndarray, first: np.ndarray, order: int, bits: int = BITS) -> np.ndarray:
     """The hash of the n-gram that ends at each word; of as many words as the document has up to there, at most `order`."""
     h = words.copy()
     n = len(words)
@@ -64,6 +60,13 @@ def ngram_hashes(words: np.ndarray, first: np.ndarray, order: int, bits: int) ->
     return h >> np.uint64(64 - bits)
 
 
+def known(ngrams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Whether the n-gram that ends at a word and its context, which ends a word earlier, occur elsewhere; hashes that collide may give only one of them."""
+    before = np.zeros(len(contexts), contexts.dtype)
+    before[1:] = contexts[:-1]
+    return (ngrams > 0) & (before > 0)
+
+
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     """chunk, docs (ids), words (of each), text (compressed words, one blank between): whole documents, at most about `size` words."""
 
@@ -118,15 +121,14 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     held = store(chunks(docs), "lm-chunks")
     total = held.select(F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(partitions(spark), -(-order * total // PART))
-    bits = hash_bits(order * total)
-    edges = (np.arange(1, parts, dtype=object) * (1 << bits) // parts).astype(np.uint64)
+    edges = (np.arange(1, parts, dtype=object) * (1 << BITS) // parts).astype(np.uint64)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, counts, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words, _, first = _positions(counts, blob)
                 for k in range(1, order + 1):
-                    own, n = np.unique(ngram_hashes(words, first, k, bits), return_counts=True)
+                    own, n = np.unique(ngram_hashes(words, first, k), return_counts=True)
                     cut = [0, *np.searchsorted(own, edges).tolist(), len(own)]
                     some = [p for p in range(parts) if cut[p] < cut[p + 1]]
                     yield pa.RecordBatch.from_arrays(
@@ -161,7 +163,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
                 others = []  # of the n-gram of each order that ends at a word: occurrences in other documents
                 for k in range(1, order + 1):
                     totals = [np.frombuffer(zlib.decompress(a["totals"]), "<i8") for a in answer or () if a["n"] == k]
-                    own, at = np.unique(ngram_hashes(words, first, k, bits), return_inverse=True)
+                    own, at = np.unique(ngram_hashes(words, first, k), return_inverse=True)
                     _, mine, times = np.unique(doc * np.int64(max(1, len(own))) + at, return_inverse=True, return_counts=True)
                     others.append((np.concatenate(totals) if totals else np.empty(0, np.int64))[at] - times[mine])
                 length = np.array(counts, np.int64)
@@ -171,7 +173,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
                 at_word = np.arange(n) - first
                 for k in range(order, 1, -1):
                     has = open_ & (at_word >= k - 1)
-                    hit = np.flatnonzero(has & (others[k - 1] > 0))
+                    hit = np.flatnonzero(has & known(others[k - 1], others[k - 2]))
                     log[hit] = back_by[hit] + np.log(others[k - 1][hit]) - np.log(others[k - 2][hit - 1])
                     open_[hit] = False
                     back_by[has & open_] += np.log(backoff)
