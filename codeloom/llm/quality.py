@@ -1,14 +1,17 @@
 """Quality rules with risk-controlled cutoffs.
 
-Base counts are taken of every whole text. Beyond the fixed base rules, each rule (a ratio of counts) has a
-cutoff per stratum (language): a third of the labelled holdout proposes cutoffs, the rest certifies them. A
-cutoff holds only if the exact (Clopper-Pearson) upper bound on the share of good documents it rejects stays
-within the rule's share of RISK, at confidence 1 - DELTA / (strata x rules); within a rule, cutoffs are tested
-from the mildest on and testing stops at the first failure, so that order needs no further correction.
-
-Null texts are empty: all counts zero, base_failed. A null language is a stratum of its own. Documents of
-strata or rules without a certified cutoff are judged by the base rules alone. Repeated rows are judged one by
-one; a doc_id that several rows share lends its label to each. An empty table gives an empty result.
+Base counts are taken of every whole text. Beyond the fixed base rules, the ratios of the counts go into one
+badness per document, a logistic score whose weights are fitted on a bounded sample of the labelled rows' first third.
+Per stratum (language) quantiles of that third's bad and good documents propose cutoffs, the mildest first; the other
+labelled rows certify them: a cutoff holds only if the exact (Clopper-Pearson) upper bound on the share of good
+documents it rejects stays within RISK, at confidence 1 - DELTA / strata (Bonferroni). Cutoffs of a stratum are tested from
+the mildest on and testing stops at the first failure, so that their order needs no further correction. Quantiles
+and rejections are aggregates over all labelled rows.
+
+A stratum whose labelled good rows are too few to certify anything (about ln(strata / DELTA) / RISK without a
+rejection) is judged by the base rules alone. Null texts are empty: all counts zero, base_failed. A null language is a
+stratum of its own, apart from the empty one. Repeated rows are judged one by one; a doc_id that several rows share
+lends its label to each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ from .common import slices, store, text_or_empty
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: False rejection of good documents per stratum, over all rules; and the chance that the guarantee fails anywhere.
+#: False rejection of good documents per stratum, and the chance that the guarantee fails in any of them.
 RISK, DELTA = 0.03, 0.05
-#: Labelled rows that are used for fitting: those of the least hash of doc_id.
+#: Labelled rows that the weights are fitted on: those of the least hash of doc_id.
 MAX_LABELS = 40_000
-#: Quantiles of the proposing part's good documents, mildest first.
-QUANTILES = (1.0, 0.9995, 0.999, 0.998, 0.997, 0.996, 0.995, 0.994, 0.993, 0.992, 0.99)
+#: Quantiles of the proposing part's bad and good documents; percentile_approx has one row in ACCURACY of error.
+BAD_QUANTILES, ACCURACY = (0.9, 0.75, 0.5, 0.25, 0.1), 10_000
+QUANTILES = (1.0, 0.998, 0.996, 0.994, 0.992, 0.99, 0.988, 0.986, 0.984, 0.982, 0.98, 0.978, 0.976, 0.974, 0.972, 0.97)
 RULES = ("symbols", "repeats", "dup_lines", "odd_words")
 #: Usual mean length of a word in code points, from which odd_words measures (as a log ratio).
 USUAL_LENGTH = 5.5
@@ -110,9 +114,14 @@ def upper_bound(k: int, n: int, delta: float) -> float:
         return 1.0
 
     def tail(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
+        # from the largest term down; the terms vanish long before 0 where k is large
+        term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+        total, i = 0.0, k
+        while i >= 0 and term > total * 1e-17:
+            total += term
+            term *= i * (1 - p) / ((n - i + 1) * p)
+            i -= 1
+        return total
 
     low, high = k / n, 1.0
     for _ in range(60):
@@ -121,46 +130,76 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def certify(rows: list[tuple], risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """Cutoffs by (stratum, rule) from rows (stratum, part, good, *scores). A score above its cutoff rejects."""
-    strata: dict[str, list[tuple]] = {}
-    for r in rows:
-        strata.setdefault(r[0], []).append(r)
-    level, share = delta / max(1, len(strata) * len(RULES)), risk / len(RULES)
-    out = {}
+def fit(x: np.ndarray, bad: np.ndarray) -> list[float]:
+    """Weights (intercept first) of a logistic score by Newton steps with a ridge; no weight is below zero, so that more of a fault is never better."""
+    free = list(range(x.shape[1]))
+    w = np.zeros(x.shape[1] + 1)
+    while True:
+        design, v = np.column_stack([np.ones(len(x)), x[:, free]]), np.zeros(len(free) + 1)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(design @ v, -40, 40)))
+            step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 0.1 * np.eye(len(v)), design.T @ (bad - p) - 0.1 * v)
+            v += np.clip(step, -2, 2)
+            if abs(step).max() < 1e-8:
+                break
+        if (v[1:] >= 0).all():
+            w[[0, *[1 + i for i in free]]] = v
+            return w.tolist()
+        free = [f for f, y in zip(free, v[1:], strict=True) if y > 0]
+
+
+def badness(weights: list[float]) -> Column:
+    """The logistic score before its curve: the higher, the worse."""
+    return sum((F.lit(w) * x for w, x in zip(weights[1:], scores().values(), strict=True)), F.lit(weights[0]))
+
+
+def certify(strata: dict[str, dict], risk: float = RISK, delta: float = DELTA) -> dict[str, float]:
+    """The strictest certified cutoff by stratum. A stratum has cuts (mildest first), n (certifying good rows), rejected (of them, by cut), and the shares
+    of the proposing part's bad and good rows that each cut rejects."""
+    level, out = delta / max(1, len(strata)), {}
     for name, own in sorted(strata.items()):
-        part, good = np.array([r[1] for r in own]), np.array([r[2] for r in own])
-        for i, rule in enumerate(RULES):
-            x = np.array([r[3 + i] for r in own], float)
-            first, first_bad, second = x[(part == 0) & (good == 1)], x[(part == 0) & (good == 0)], x[(part == 1) & (good == 1)]
-            if not len(first) or not len(first_bad) or not len(second):
-                continue
-            for q in QUANTILES:
-                cut = float(np.quantile(first, q, method="higher"))
-                if upper_bound(int((second > cut).sum()), len(second), level) > share:
-                    break
-                # a cutoff is of use only where it catches bad documents clearly more often than good ones
-                if (first_bad > cut).mean() >= max(0.02, 5 * (first > cut).mean()):
-                    out[name, rule] = cut
+        for cut, k, bad, good in zip(own["cuts"], own["rejected"], own["bad"], own["good"], strict=False):  # a stratum without bad rows has fewer cuts
+            if not own["n"] or upper_bound(k, own["n"], level) > risk:
+                break
+            if bad >= max(0.02, 5 * good):  # of use only where it catches bad documents clearly more often than good ones
+                out[name] = cut
     return out
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> dict[tuple[str, str], float]:
-    """Fit on at most ``most`` labelled rows; ``counted`` has doc_id, lang and the counts."""
-    sample = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    own = counted.join(F.broadcast(sample), "doc_id").where(~base_failed())  # the broadcast is bounded by `most`
-    part = F.least(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)), F.lit(1)).cast("int")
-    rows = own.select(F.coalesce("lang", F.lit("")), part, F.col("quality").cast("int"), *scores().values()).limit(4 * most).collect()
-    return certify([tuple(r) for r in rows])
+def _stratum() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
 
 
-def rejected(cuts: dict[tuple[str, str], float]) -> Column:
-    """Whether a score lies above the cutoff of its stratum."""
-    out, stratum = F.lit(False), F.coalesce("lang", F.lit(""))
-    by_rule = scores()
-    for (name, rule), cut in cuts.items():
-        out = out | ((stratum == name) & (by_rule[rule] > cut))
+def cutoffs(counted: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> tuple[list[float], dict[str, float]]:
+    """(weights, cutoffs by stratum); ``counted`` has doc_id, lang and the counts. The weights are fitted on at most ``most`` rows, the rest looks at every label."""
+    named = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good"))
+    part = F.least(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)), F.lit(1)).cast("int")
+    rules = [c.alias(n) for n, c in scores().items()]
+    own = store(counted.join(named, "doc_id").where(~base_failed()).select(_stratum().alias("stratum"), part.alias("part"), "good", "doc_id", *[c.split()[0] for c in COUNTS.split(", ")]), "quality-labelled")
+    sample = own.where("part = 0").orderBy(F.xxhash64("doc_id"), "doc_id", "good", *rules).limit(most).select("good", *rules).collect()
+    good = np.array([r["good"] for r in sample], float)
+    if not len(good) or good.min() == good.max():
+        return [0.0] * (1 + len(RULES)), {}
+    weights = fit(np.array([tuple(r)[1:] for r in sample], float), 1 - good)
+    scored = own.withColumn("badness", badness(weights))
+    quantiles = lambda good, at: F.coalesce(F.percentile_approx(F.when(F.col("good") == good, F.col("badness")), list(at), ACCURACY), F.array().cast("array<double>"))
+    proposed = F.concat(quantiles(0, BAD_QUANTILES), quantiles(1, QUANTILES))
+    cuts = scored.where("part = 0").groupBy("stratum").agg(F.reverse(F.array_sort(proposed)).alias("cuts"))
+    above = lambda when, j: F.sum(F.when(when & (F.col("badness") > F.get("cuts", F.lit(j))), 1).otherwise(0))
+    count = lambda part, good: F.sum(F.when((F.col("part") == part) & (F.col("good") == good), 1).otherwise(0))
+    kinds = {"rejected": (1, 1), "good": (0, 1), "bad": (0, 0)}
+    sums = [F.array(*[above((F.col("part") == p) & (F.col("good") == g), j) for j in range(len(BAD_QUANTILES) + len(QUANTILES))]).alias(n) for n, (p, g) in kinds.items()]
+    rows = scored.join(cuts, "stratum").groupBy("stratum").agg(F.first("cuts").alias("cuts"), *sums, *[count(p, g).alias(f"n_{n}") for n, (p, g) in kinds.items()]).collect()  # one row a language
+    strata = {r["stratum"]: {"cuts": r["cuts"], "n": r["n_rejected"], "rejected": r["rejected"], **{k: [x / max(1, r[f"n_{k}"]) for x in r[k]] for k in ("good", "bad")}} for r in rows}
+    return weights, certify(strata)
+
+
+def rejected(fitted: tuple[list[float], dict[str, float]]) -> Column:
+    """Whether the badness lies above the cutoff of the row's stratum."""
+    weights, cuts = fitted
+    out = F.lit(False)
+    for name, cut in cuts.items():
+        out = out | ((_stratum() == name) & (badness(weights) > cut))
     return out
 
 
@@ -176,10 +215,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject, its columns unchanged. The verdict follows from the row, so no join is needed."""
+    """``docs`` without the rows that the rules reject, its columns unchanged. The verdict follows from the row, so texts are not
+    moved; they are counted twice, once for the cutoffs, which are those of `judge`."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    sample = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS)
-    cuts = cutoffs(store(counts(own.join(F.broadcast(sample), "doc_id"), "doc_id", "lang"), "quality"), labels)
+    cuts = cutoffs(store(counts(own, "doc_id", "lang"), "quality"), labels)
     names = docs.columns
     hidden = [f"c{i}" for i in range(len(names))]  # any column names, clashing ones too, pass through
     plain = docs.toDF(*hidden)

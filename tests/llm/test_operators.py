@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import struct
 import zlib
 from collections import Counter
@@ -9,9 +10,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from codeloom.llm import lmscore, packing, quality, sentencepiece_bpe, sharding, simhash, suffixdedup, topk, toxicity
-from codeloom.llm.common import tokenizer_path
+from codeloom.llm.common import store, tokenizer_path
 
 ODD = [
     (1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (5, "a b c d e f g"), (None, "no id here at all"), (6, "Ünïcode ﬁne 中文 😀 <|endoftext|> x"),
@@ -339,6 +341,17 @@ def test_merge_is_sorted_with_true_prefixes():
 # --- op8
 
 
+def brute_quality(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed by regular expressions and sets."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    again = {i + k for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again), n < 20 or 100 * len(again) > 30 * n
+
+
 def test_quality(spark, sf, odd):
     docs, labels = read(spark, sf), read(spark, sf, "labels")
     got = quality.judge(docs, labels)
@@ -350,6 +363,42 @@ def test_quality(spark, sf, odd):
     assert quality.judge(odd.limit(0), labels).count() == 0
 
 
+def test_quality_counts_against_brute_force(spark, sf, docs, odd):
+    labels = read(spark, sf, "labels")
+    more = [(100 + i, x) for i, x in enumerate(["a\n a\na\n\n \n\n#<x>", "\x1c\x85 \xa0w | | |", "l\r\nl\r\n" * 30, "one two three four five six seven eight " * 3])]
+    df = spark.createDataFrame([(d, t, None) for d, t in docs + ODD + more], "doc_id long, text string, lang string")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = Counter((r["doc_id"], *[r[n] for n in names]) for r in quality.judge(df, labels).collect())
+    assert got == Counter((d, *brute_quality(t)) for d, t in docs + ODD + more)
+
+
+def test_quality_cutoffs_act_and_reject_few_good(spark):
+    """Fitted on half of the labels, held against the other half."""
+    big = "/root/testdata/sf0.1"
+    docs, labels = read(spark, big), read(spark, big, "labels")
+    rows = store(quality.counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), "doc_id", "lang"), "test-quality")
+    fitted = quality.cutoffs(rows, labels.where("doc_id % 2 = 0"))
+    assert "=en" in fitted[1]
+    unseen = rows.join(labels.where("doc_id % 2 = 1"), "doc_id").where(~quality.base_failed()).withColumn("gone", quality.rejected(fitted))
+    share = {(r["lang"], r["quality"]): r["share"] for r in unseen.groupBy("lang", "quality").agg(F.avg(F.col("gone").cast("int")).alias("share")).collect()}
+    for name in fitted[1]:
+        assert share[name[1:], 1] <= 0.04
+        assert share[name[1:], 0] >= 0.6
+    assert {"=en", "=de", "=fr"} <= set(quality.cutoffs(rows, labels)[1])
+    assert quality.cutoffs(rows, labels.limit(0)) == ([0.0] * 5, {})
+
+
+def test_strata_of_null_and_empty_language(spark):
+    mark = lambda i: "#|" if i % 10 in (0, 3) else ""
+    rows = [(i, None if i % 2 else "", " ".join(f"word{k}{i}{mark(i)}" for k in range(30))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 0 if i % 10 == 0 else 1, 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    gone = {r["doc_id"] for r in quality.judge(docs, labels).where("not kept").collect()}
+    # with the null language symbols are no sign of bad quality, with the empty one they always are
+    assert {i for i in gone if i % 2} == set()
+    assert {i for i in gone if not i % 2} == {i for i in range(0, 1200, 10)}
+
+
 def test_repeat_words_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(50):
@@ -366,12 +415,18 @@ def test_binomial_bound():
     assert abs(sum(math.comb(50, i) * p**i * (1 - p) ** (50 - i) for i in range(4)) - 0.01) < 1e-9
 
 
-def test_certified_rules_rarely_reject_good():
+def test_certified_cutoffs():
+    own = {"cuts": [0.9, 0.5, 0.1], "n": 1000, "rejected": [0, 10, 200], "bad": [0.0, 0.5, 0.9], "good": [0.0, 0.01, 0.2]}
+    assert quality.certify({"en": own}) == {"en": 0.5}
+    assert quality.certify({"en": own | {"n": 90, "rejected": [0, 0, 0]}}) == {}
+    assert quality.certify({"en": own | {"rejected": [40, 0, 0]}}) == {}  # testing stops at the first failure
+
+
+def test_weights_are_never_negative():
     rng = np.random.default_rng(8)
-    rows = [("en", int(i % 3 > 0), int(i % 10 > 0), 0.9 if i % 10 == 0 else float(rng.random() * 0.1), 0.0, 0.0, 0.0) for i in range(9000)]
-    cuts = quality.certify(rows)
-    assert set(cuts) == {("en", "symbols")}
-    assert 0.09 < cuts["en", "symbols"] < 0.9
+    x = rng.random((2000, 3))
+    w = quality.fit(x, (x[:, 0] - x[:, 1] + 0.3 * rng.standard_normal(2000) > 0.4).astype(float))
+    assert w[1] > 1 and w[2] == 0 and w[3] >= 0
 
 
 # --- op10
