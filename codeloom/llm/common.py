@@ -21,10 +21,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """This application's part of the folder that all executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
         sc.setCheckpointDir(found)
     return f"{found.rstrip('/')}/codeloom-{sc.applicationId}"

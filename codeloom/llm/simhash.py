@@ -30,6 +30,8 @@ BITS = 64
 SEED = 42
 WORDS = 4
 RADIUS = 4
+#: The pipeline's stage: words of a shingle, similarity of a link, and bits in which the fingerprints of its candidates' words may differ.
+STAGE_WORDS, SIMILARITY, STAGE_RADIUS = 5, 0.8, 6
 #: Fingerprints of a bucket that one comparison takes on each side.
 BLOCK = 1500
 
@@ -161,11 +163,87 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """``docs`` with one document of each component: that of the least doc_id. Equal rows count as one document; other texts that
-    share its id stay with it, and rows without an id stay."""
-    kept = near_duplicates(docs, radius, words).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    (th,) = fresh(docs, "simhash_text")
-    # the join is dealt by doc_id, which serves the removal of equal rows as well
-    chosen = docs.withColumn(th, F.xxhash64("text")).join(store(kept, "kept").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", th])
+def word_fingerprint(text: str) -> int:
+    """The 64-bit fingerprint of the distinct words of a text: a few changed words turn few of its bits, where shingles would turn many."""
+    own = set(text.encode("utf-8", "surrogatepass").lower().split())
+    if not own:
+        return 0
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), "<u8", len(own))
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0])
+
+
+def shingles(text: str, words: int) -> set[bytes]:
+    own = text.encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts share enough of their shingles, by exact count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices([batch], 64):
+                keep, last, own = [], None, set()
+                for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    if ta != last:
+                        last, own = ta, shingles(ta, words)
+                    other = shingles(tb, words)
+                    both = len(own & other)
+                    keep.append(both >= similarity * (len(own) + len(other) - both))
+                yield pa.RecordBatch.from_arrays(list(b.select([0, 1]).filter(pa.array(keep, pa.bool_())).columns), names=["a", "b"])
+
+    met = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("nid").alias("b"), F.col("text").alias("tb")), "b")
+    return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(texts, roots): node (of the text), nid and first (least doc_id) of each distinct text, and (node, root) of the nids that have a similar text.
+
+    Candidates are texts whose word fingerprints differ in at most ``radius`` bits; the covering masks lose none of them. A bucket's texts are held
+    against its least one; only those that this leaves outside that one's component are held against texts of other components. A link is a pair
+    whose ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = np.array([word_fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own)], names=["doc_id", "node", "fp"])
+
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_or_empty())).alias("node"), text_or_empty().alias("text")).where("doc_id is not null")
+    rows = store(named.mapInArrow(run, "doc_id long, node binary, fp long"), "near-rows")
+    distinct = store(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("first")).withColumn("nid", F.monotonically_increasing_id()), "near-texts")
+    tables = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks(radius))])
+    shared = store(distinct.select(F.explode(tables).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
+    met = store(distinct.select("nid", "fp", F.explode(tables).alias("bucket")).join(shared, "bucket"), "near-met")
+    low = met.groupBy("bucket").agg(F.min("nid").alias("a"), F.min_by("fp", "nid").alias("fp_a"))
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+    star = store(met.join(low, "bucket").where((F.col("nid") != F.col("a")) & close("fp", "fp_a")).select("a", F.col("nid").alias("b")).distinct(), "near-star")
+    # texts of all that is still to be compared: the star's pairs, and buckets of three or more
+    wanted = star.select(F.explode(F.array("a", "b")).alias("nid")).union(met.where("n > 2").select("nid")).distinct()
+    wanted = store(distinct.join(wanted, "nid").select("nid", "node"), "near-wanted")
+    texts = store(named.join(wanted, "node").select("nid", "text").dropDuplicates(["nid"]), "near-read")
+    linked = store(_alike(star, texts, words, similarity), "near-links")
+    roots = store(components(linked), "near-roots")
+    rooted = store(met.where("n > 2").join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").select("bucket", "nid", "fp", F.coalesce("root", "nid").alias("root")), "near-rooted")
+    low = rooted.groupBy("bucket").agg(F.min("nid").alias("least"), F.min_by("root", "nid").alias("least_root"), F.countDistinct("root").alias("roots"))
+    mixed = store(rooted.join(low.where("roots > 1"), "bucket"), "near-mixed")
+    outside = mixed.where("root <> least_root").select("bucket", F.col("nid").alias("other"), F.col("fp").alias("fp_a"), F.col("root").alias("other_root"))
+    rest = mixed.join(outside, "bucket").where((F.col("root") != F.col("other_root")) & (F.col("nid") != F.col("least")) & close("fp", "fp_a"))
+    rest = store(rest.select(F.least("nid", "other").alias("a"), F.greatest("nid", "other").alias("b")).distinct(), "near-rest")
+    more = store(_alike(rest, texts, words, similarity), "near-links")
+    return distinct, roots if more.isEmpty() else store(components(linked.unionByName(more)), "near-roots")
+
+
+def keep_one(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
+    """``docs`` with one document of each group of similar texts: that of the least doc_id, of equal ids that of the least text hash. Equal rows
+    count as one document; rows without an id stay. Texts without words are alike."""
+    texts, roots = similar(docs, words, similarity, radius)
+    named = texts.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").select("node", "first", F.coalesce("root", "nid").alias("root"))
+    kept = store(named.groupBy("root").agg(F.min(F.struct("first", "node")).alias("keep")).select("keep.node", "keep.first"), "kept")
+    node, first = fresh(docs, "near_node", "near_first")
+    kept = kept.select(F.col("node").alias(node), F.col("first").alias(first)).hint("merge")
+    # the join is dealt by the text, which serves the removal of equal rows as well
+    own = docs.where(F.col("doc_id").isNotNull()).withColumn(node, F.unhex(F.md5(text_or_empty())))
+    chosen = own.join(kept, node).where(F.col("doc_id").cast("long") == F.col(first)).dropDuplicates([node])
     return chosen.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

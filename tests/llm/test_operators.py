@@ -255,8 +255,6 @@ def test_simhash(spark, sf, odd, docs):
     assert [r["component_id"] for r in rows] == [least.get(k) for k in roots]
     assert {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}[2] == 0
     assert {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}[4] == xxhash.xxh64_intdigest(b"one", 42)
-    kept = simhash.keep_one(frame).collect()
-    assert len({r["doc_id"] for r in kept}) == len(set(least.values())) + 1  # and the row without an id
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
@@ -280,6 +278,50 @@ def test_buckets_cut_into_blocks_lose_nothing(spark):
     assert len({find(p) for p in prints}) == len(set(want))
 
 
+def near_copies(seed=11):
+    """(texts, copies): originals, and edited copies with the number of words that were replaced in each."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
+    texts, copies = [], []
+    for i in range(120):
+        own = [word() for _ in range(int(rng.choice([60, 120, 300, 1000])))]
+        near = list(own)
+        for at in rng.choice(len(own), max(1, len(own) // int(rng.choice([55, 100]))), replace=False):
+            near[int(at)] = word()
+        texts.append(" ".join(own))
+        copies.append(" ".join(near))
+    return texts, copies
+
+
+def test_keep_one_drops_near_copies(spark):
+    texts, copies = near_copies()
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    far = [i for i, (a, b) in enumerate(zip(texts, copies, strict=True)) if jaccard(simhash.shingles(a, 5), simhash.shingles(b, 5)) < 0.8]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(1000 + i, t, "x") for i, t in enumerate(copies)] + [(2000, texts[0], "y"), (2000, texts[0], "y"), (None, texts[0], "z"), (3000, None, "n"), (3001, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_node string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    kept = Counter(r["doc_id"] for r in got.collect())
+    assert set(range(120)) <= set(kept) and kept[2000] == 0 and kept[None] == 1 and kept[3000] == 1 and kept[3001] == 0
+    assert all(kept[1000 + i] for i in far)
+    close = 120 - len(far)
+    assert close >= 60 and sum(kept[1000 + i] for i in range(120)) - len(far) <= 0.1 * close
+
+
+def test_keep_one_against_brute_force(spark, sf, docs):
+    docs = docs + [(1000 + i, f"{docs[7][1]} extra{i % 40} word") for i in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = {d: simhash.shingles(t or "", 5) for d, t in docs}
+    prints = {d: simhash.word_fingerprint(t or "") for d, t in docs}
+    group = {d: d for d in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= simhash.STAGE_RADIUS and len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: new if v == old else v for k, v in group.items()}
+    assert {r["doc_id"] for r in simhash.keep_one(df).select("doc_id").collect()} == set(group.values())
+
+
 # --- op7
 
 
