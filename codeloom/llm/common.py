@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -42,10 +44,46 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage is cut and no executor's loss undoes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    passing(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths and catalog tables that the open `steps` have written, the innermost last.
+_STEPS: list[list[tuple[str, str | None]]] = []
+
+
+def passing(path: str, table: str | None = None) -> None:
+    """Let the innermost `steps`, if any, delete the path and drop the table at its end."""
+    if _STEPS:
+        _STEPS[-1].append((path, table))
+
+
+@contextlib.contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is deleted at the end, and the shuffle files of its plans are let go. A result must be stored outside, or by `result`."""
+    _STEPS.append([])
+    try:
+        yield
+    finally:
+        for path, table in _STEPS.pop():
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        gc.collect()
+        spark._jvm.System.gc()  # the driver drops shuffle files when their plans are collected
+
+
+def result(df: DataFrame, name: str) -> DataFrame:
+    """`store` for what outlives the innermost `steps`; it belongs to those around them, if any."""
+    own = _STEPS.pop()
+    try:
+        return store(df, name)
+    finally:
+        _STEPS.append(own)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, partitions, slices, store, text_or_empty
+from .common import fresh, partitions, result, slices, steps, store, text_or_empty
 from .components import components
 
 BITS = 64
@@ -32,6 +32,8 @@ WORDS = 4
 RADIUS = 4
 #: The pipeline's stage: words of a shingle, similarity of a link, and bits in which the fingerprints of its candidates' words may differ.
 STAGE_WORDS, SIMILARITY, STAGE_RADIUS = 5, 0.8, 6
+#: Comparisons for each row of its open buckets that the stage makes at once; with more to make it first joins components by one row of each bucket.
+PAIRS = 4
 #: Fingerprints of a bucket that one comparison takes on each side.
 BLOCK = 1500
 
@@ -210,9 +212,10 @@ def similar(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMIL
             own = np.array([word_fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own)], names=["doc_id", "node", "fp"])
 
+    spread = partitions(docs.sparkSession)  # small tables that much is made of are dealt to all tasks
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_or_empty())).alias("node"), text_or_empty().alias("text")).where("doc_id is not null")
     rows = store(named.mapInArrow(run, "doc_id long, node binary, fp long"), "near-rows")
-    distinct = store(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("first")).withColumn("nid", F.monotonically_increasing_id()), "near-texts")
+    distinct = store(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("first")).repartition(spread, "node").withColumn("nid", F.monotonically_increasing_id()), "near-texts")
     tables = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks(radius))])
     shared = store(distinct.select(F.explode(tables).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
     met = store(distinct.select("nid", "fp", F.explode(tables).alias("bucket")).join(shared, "bucket"), "near-met")
@@ -224,26 +227,50 @@ def similar(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMIL
     wanted = store(distinct.join(wanted, "nid").select("nid", "node"), "near-wanted")
     texts = store(named.join(wanted, "node").select("nid", "text").dropDuplicates(["nid"]), "near-read")
     linked = store(_alike(star, texts, words, similarity), "near-links")
-    roots = store(components(linked), "near-roots")
-    rooted = store(met.where("n > 2").join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").select("bucket", "nid", "fp", F.coalesce("root", "nid").alias("root")), "near-rooted")
-    low = rooted.groupBy("bucket").agg(F.min("nid").alias("least"), F.min_by("root", "nid").alias("least_root"), F.countDistinct("root").alias("roots"))
-    mixed = store(rooted.join(low.where("roots > 1"), "bucket"), "near-mixed")
-    outside = mixed.where("root <> least_root").select("bucket", F.col("nid").alias("other"), F.col("fp").alias("fp_a"), F.col("root").alias("other_root"))
-    rest = mixed.join(outside, "bucket").where((F.col("root") != F.col("other_root")) & (F.col("nid") != F.col("least")) & close("fp", "fp_a"))
-    rest = store(rest.select(F.least("nid", "other").alias("a"), F.greatest("nid", "other").alias("b")).distinct(), "near-rest")
-    more = store(_alike(rest, texts, words, similarity), "near-links")
-    return distinct, roots if more.isEmpty() else store(components(linked.unionByName(more)), "near-roots")
+    met, turn = store(met.where("n > 2"), "near-met"), 0
+    while True:
+        roots = store(components(linked), "near-roots")
+        rooted = store(met.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").select("bucket", "nid", "fp", F.coalesce("root", "nid").alias("root")), "near-rooted")
+        low = rooted.groupBy("bucket").agg(F.min("nid").alias("least"), F.min_by("root", "nid").alias("least_root"), F.countDistinct("root").alias("roots"), F.count("*").alias("n"))
+        mixed = store(rooted.join(low.where("roots > 1"), "bucket").repartition(spread, "nid", "bucket"), "near-mixed")
+        pairs, rows = mixed.agg(F.coalesce(F.sum(F.when(F.col("root") != F.col("least_root"), F.col("n"))), F.lit(0)), F.count("*")).first()
+        outside = mixed.where("root <> least_root")
+        if pairs <= PAIRS * rows:
+            break
+        # many pairs are left: another member of each bucket is held against all that is in other components, which joins most of them
+        other = outside.groupBy("bucket").agg(*[F.min_by(c, F.xxhash64("nid", F.lit(turn))).alias(n) for c, n in (("nid", "other"), ("fp", "fp_a"), ("root", "other_root"))])
+        found = store(_alike(_across(mixed, other, radius), texts, words, similarity), "near-links")
+        turn += 1
+        if found.isEmpty():
+            break
+        linked = store(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "near-links")
+    rest = _across(mixed.where(F.col("nid") != F.col("least")), outside.select("bucket", F.col("nid").alias("other"), F.col("fp").alias("fp_a"), F.col("root").alias("other_root")), radius)
+    more = store(_alike(store(rest, "near-rest"), texts, words, similarity), "near-links")
+    return distinct, roots if more.isEmpty() else store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "near-roots")
+
+
+def _across(mixed: DataFrame, others: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) within the radius of a bucket's rows and its ``others`` (bucket, other, fp_a, other_root), of different components."""
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_a"))) <= radius
+    pairs = mixed.join(others, "bucket").where((F.col("root") != F.col("other_root")) & close)
+    return pairs.select(F.least("nid", "other").alias("a"), F.greatest("nid", "other").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
     """``docs`` with one document of each group of similar texts: that of the least doc_id, of equal ids that of the least text hash. Equal rows
     count as one document; rows without an id stay. Texts without words are alike."""
-    texts, roots = similar(docs, words, similarity, radius)
-    named = texts.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").select("node", "first", F.coalesce("root", "nid").alias("root"))
-    kept = store(named.groupBy("root").agg(F.min(F.struct("first", "node")).alias("keep")).select("keep.node", "keep.first"), "kept")
+    with steps(docs.sparkSession):
+        kept = result(_firsts(docs, words, similarity, radius), "kept")
     node, first = fresh(docs, "near_node", "near_first")
     kept = kept.select(F.col("node").alias(node), F.col("first").alias(first)).hint("merge")
     # the join is dealt by the text, which serves the removal of equal rows as well
     own = docs.where(F.col("doc_id").isNotNull()).withColumn(node, F.unhex(F.md5(text_or_empty())))
     chosen = own.join(kept, node).where(F.col("doc_id").cast("long") == F.col(first)).dropDuplicates([node])
     return chosen.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _firsts(docs: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """node and first of the text that stays, by group."""
+    texts, roots = similar(docs, words, similarity, radius)
+    named = texts.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").select("node", "first", F.coalesce("root", "nid").alias("root"))
+    return named.groupBy("root").agg(F.min(F.struct("first", "node")).alias("keep")).select("keep.node", "keep.first")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, partitions, shared_dir, slices, store, text_or_empty
+from .common import fresh, partitions, passing, result, shared_dir, slices, steps, store, text_or_empty
 
 LENGTH, GRAM = 200, 64
 #: Grams in a window, and windows that hold an anchor in a given place.
@@ -332,6 +332,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     name = f"texts_{uuid.uuid4().hex}"
     n = partitions(spark)
     once.repartition(n, "d1").write.bucketBy(n, "d1").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    passing(f"{shared_dir(spark)}/{name}", name)
     return spark.table(name)
 
 
@@ -415,13 +416,13 @@ def _finish(texts: DataFrame, spans: DataFrame, schema: str, make, length: int)
 
 def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that remain."""
-    texts = distinct_texts(docs)
-    spans = repeated_spans(texts, length, gram)
 
     def make(raw: bytes, runs: list[tuple[int, int]]) -> tuple:
         return len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(raw, runs)).hexdigest()
 
-    done = store(_finish(texts, spans, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", make, length), "texts-done")
+    with steps(docs.sparkSession):
+        texts = distinct_texts(docs)
+        done = result(_finish(texts, repeated_spans(texts, length, gram), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", make, length), "texts-done")
     text = text_or_empty()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
     return own.join(done, ["d1", "d2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -429,15 +430,15 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs``, its columns unchanged, with the repeated bytes taken out of ``text``; a character cut in two goes whole."""
-    texts = distinct_texts(docs)
-    spans = repeated_spans(texts, length, gram)
 
     def make(raw: bytes, runs: list[tuple[int, int]]) -> tuple:
         return (kept(raw, runs).decode("utf-8", "ignore"),) if runs else (None,)  # None: unchanged
 
     d1, d2, new = fresh(docs, "suffix_d1", "suffix_d2", "suffix_text")
-    changed = _finish(texts, spans, "new string", make, length).where("new is not null").toDF(d1, d2, new)
-    changed = store(changed, "texts-changed")
+    with steps(docs.sparkSession):
+        texts = distinct_texts(docs)
+        changed = _finish(texts, repeated_spans(texts, length, gram), "new string", make, length)
+        changed = result(changed.where("new is not null").toDF(d1, d2, new), "texts-changed")
     own = docs.withColumn(d1, F.xxhash64(text_or_empty())).withColumn(d2, F.xxhash64(F.lit(1), text_or_empty()))
     met = own.join(changed.hint("merge"), [d1, d2], "left").withColumn("text", F.coalesce(F.col(new), F.col("text")))
     if "n_chars" in docs.columns:
