@@ -164,7 +164,7 @@ def inheritance(t: Tables, roots: DataFrame, derived: bool = True, levels: int =
 @method("$xref/member")
 def member(t: Tables, roots: DataFrame) -> DataFrame:
     """Members with offsets of the roots and of all their bases; a base that is reached twice gives its members twice."""
-    up = graph.tree(roots, t["edges"].where("etype = 'base'").select("src", "dst"), 16)
+    up = graph.full_tree(roots, t["edges"].where("etype = 'base'").select("src", "dst"))
     owners = roots.select("root", F.col("root").alias("node")).unionByName(up.select("root", "node"))
     fields = t["edges"].where("etype = 'member'").select(F.col("src").alias("node"), F.col("dst").alias("member"), "offset_bits", "ord")
     return owners.join(fields, "node").select("root", F.col("node").alias("owner"), "member", "offset_bits", "ord")

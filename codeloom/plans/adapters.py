@@ -32,12 +32,12 @@ LINES_SQL = """lines AS (
         SELECT file_id, unnest(range(len(l))) AS line, unnest(l) AS content FROM (SELECT doc_id AS file_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))
 )"""
 TOKENS_SQL = LINES_SQL + """, tokens AS (
-    SELECT file_id, line, unnest(range(len(t))) AS col, unnest(t) AS token FROM (
-        SELECT file_id, line, list_filter(string_split(content, ' '), lambda x: x <> '') AS t FROM lines)
+    SELECT file_id, least(line, 65535) AS line, least(col, 32767) AS col, token FROM (SELECT file_id, line, unnest(range(len(t))) AS col, unnest(t) AS token FROM (
+        SELECT file_id, line, list_filter(string_split(content, ' '), lambda x: x <> '') AS t FROM lines))
 ), sited AS (
     SELECT file_id, line, col, token, line * 65536 + col AS start_p, line * 65536 + col + 1 AS end_p,
            ('0x' || substr(md5(token), 1, 15))::BIGINT AS usr
-    FROM tokens WHERE line < 65535 AND col < 32767
+    FROM tokens
 )"""
 OCC_SQL = TOKENS_SQL + """, firsts AS (
     SELECT token, min({'f': file_id, 'p': start_p}) AS at FROM sited GROUP BY token
@@ -68,7 +68,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lines(spark, sf_dir).select("file_id", F.col("line").cast("long").alias("line"), F.posexplode(F.array_remove(F.split("content", " "), "")).alias("col", "token"))
-    own = own.where(f"line < {LINE - 1} and col < 32767").withColumn("col", F.col("col").cast("long"))
+    # places beyond what a position can hold are clamped to its last line and column
+    own = own.withColumn("line", F.least("line", F.lit(LINE - 1))).withColumn("col", F.least(F.col("col").cast("long"), F.lit(32767)))
     p = F.col("line") * LINE + F.col("col")
     return own.select("*", p.alias("start_p"), (p + 1).alias("end_p"), symbol_id("token").alias("usr"))
 

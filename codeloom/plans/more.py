@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names
-from ..operators import align, defs, delta, locate, ranges
+from ..operators import align, defs, delta, locate, order, ranges
 from ..schema import CAP_RESULTS, LINE, unsigned_order
 from . import adapters as A
 from .registry import query
@@ -186,12 +186,11 @@ def initializer_hover(spark: SparkSession, sf: str) -> DataFrame:
 # --- orders and sets
 
 
-@query("srt12_unsigned_order", "SELECT p_partkey, row_number() OVER (ORDER BY xor(CAST(p_partkey * 7919 - 500000 AS BIGINT), (-9223372036854775808)::BIGINT)) AS ord FROM part QUALIFY ord <= 100")
+@query("srt12_unsigned_order", "SELECT p_partkey, row_number() OVER (ORDER BY xor(CAST(p_partkey * 7919 - 500000 AS BIGINT), (-9223372036854775808)::BIGINT)) AS ord FROM part")
 def unsigned(spark: SparkSession, sf: str) -> DataFrame:
-    """The first hundred ids in unsigned order."""
+    """All ids in unsigned order."""
     usr = F.col("p_partkey") * 7919 - 500000
-    own = A.table(spark, sf, "part").select("p_partkey", unsigned_order(usr).alias("o")).orderBy("o").limit(100)
-    return own.select("p_partkey", F.row_number().over(Window.orderBy("o")).cast("long").alias("ord"))
+    return order.ranked(A.table(spark, sf, "part").select("p_partkey", unsigned_order(usr).alias("o")), "o").select("p_partkey", "ord")
 
 
 @query("srt13_folder_order", "SELECT source, row_number() OVER (ORDER BY length(source) DESC, source) AS ord FROM (SELECT DISTINCT source FROM documents)")
@@ -225,6 +224,19 @@ def distinct_places(spark: SparkSession, sf: str) -> DataFrame:
     return A.calls(spark, sf).select("src", "dst").dropDuplicates()
 
 
+@query("set08_intersect", f"WITH {A.CALLS_SQL} SELECT src, dst FROM calls INTERSECT SELECT dst, src FROM calls")
+def mutual_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls that are answered the other way: pairs of both sets, each once."""
+    own = A.calls(spark, sf)
+    return own.select("src", "dst").intersect(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+@query("agg13_max_name_length", "SELECT p_size, max(length(p_name)) AS longest FROM part GROUP BY p_size")
+def longest_name(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest name of each group, as a completion list lays out its column."""
+    return A.table(spark, sf, "part").groupBy("p_size").agg(F.max(F.length("p_name")).cast("long").alias("longest"))
+
+
 @query("set04_delete_defs", f"WITH {DEFS_SQL} SELECT usr, count(*) AS n FROM defs WHERE (usr, ord) NOT IN (SELECT usr, ord FROM defs WHERE ord % 4 = 0) GROUP BY usr")
 def delete_defs(spark: SparkSession, sf: str) -> DataFrame:
     own = _defs(spark, sf)

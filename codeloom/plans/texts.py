@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fuzzy, names
-from ..operators import align, delta
+from ..operators import align, delta, order
 from ..schema import CAP_COMPLETION, CAP_SYMBOLS, LINE
 from . import adapters as A
 from .registry import query
@@ -76,12 +76,11 @@ def completion(spark: SparkSession, sf: str) -> DataFrame:
     return own.orderBy(F.desc("score"), "priority", "name", "ekind", "id").limit(CAP_COMPLETION).select("name", "priority", "score")
 
 
-@query("srt07_signature_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, length(p_name), p_name, p_partkey) AS ord FROM part QUALIFY ord <= 50")
+@query("srt07_signature_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, length(p_name), p_name, p_partkey) AS ord FROM part")
 def signature_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Signatures by number of parameters, length and text; the first fifty, as a list shows them."""
-    own = A.table(spark, sf, "part").orderBy("p_size", F.length("p_name"), "p_name", "p_partkey").limit(50)
-    w = Window.orderBy("p_size", F.length("p_name"), "p_name", "p_partkey")
-    return own.select("p_partkey", F.row_number().over(w).cast("long").alias("ord"))
+    """Signatures by number of parameters, length and text."""
+    own = A.table(spark, sf, "part").withColumn("chars", F.length("p_name"))
+    return order.ranked(own, "p_size", "chars", "p_name", "p_partkey").select("p_partkey", "ord")
 
 
 @query("win04_sort_keys", "SELECT p_partkey, chr(32 + CAST(p_partkey // 35937 % 33 AS INTEGER)) || chr(32 + CAST(p_partkey // 1089 % 33 AS INTEGER)) || chr(32 + CAST(p_partkey // 33 % 33 AS INTEGER)) || chr(32 + CAST(p_partkey % 33 AS INTEGER)) AS sort_key FROM part")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import align, delta, graph, locate, tokens
+from codeloom.operators import align, delta, graph, locate, order, tokens
 
 
 def test_apply_of_create_is_the_new_state(spark):
@@ -76,3 +76,17 @@ def test_closure_of_a_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
     got = {(r["node"], r["level"]) for r in graph.closure(spark.createDataFrame([(1,)], "root long"), edges).collect()}
     assert got == {(2, 1), (3, 2), (4, 3)}
+
+
+def test_full_tree_goes_to_the_last_level_and_refuses_cycles(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 25)] + [(1, 3)], "src long, dst long")
+    got = graph.full_tree(spark.createDataFrame([(1,)], "root long"), chain)
+    assert got.agg(F.max("level")).first()[0] == 24
+    assert got.where("node = 25").count() == 2  # two ways lead there
+
+
+def test_ranked_numbers_all_rows(spark):
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("x"), F.col("id").alias("_range_"))
+    got = {r["x"]: r["ord"] for r in order.ranked(df, "x").collect()}
+    assert got == {i: i + 1 for i in range(1000)}
+    assert order.ranked(df.limit(0), "x").count() == 0
