@@ -130,7 +130,9 @@ class PieceModel:
         for c, ids in zip(new, theirs, strict=True):
             own = self.encode_part(c)
             if c[0] != MARK or len(c) == 1:
-                ids = ids[len(lead) :] if guard else list(own)
+                if not guard:
+                    raise Mismatch("the vocabulary joins every character to another, so parts can't be held against the library")
+                ids = ids[len(lead) :]
             if list(own) != ids:
                 raise Mismatch(f"{c!r}: {own} here, {ids} in the library")
             self.parts[c] = own

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, store, text_or_empty
 
-#: Labelled rows used for training (those of the least hash of doc_id), and words the model keeps (the largest z).
-MAX_LABELS, MAX_TERMS = 40_000, 50_000
+#: Labelled rows used for training: those of the least hash of doc_id. They bound the words of the model, of which it keeps those that tell.
+MAX_LABELS = 40_000
 #: Weight of the prior in words, and the least that one word has of it; least log-odds and z of a word with a
 #: score of its own; what every token loses.
 PRIOR, LEAST_PRIOR, LEAST_ODDS, LEAST_Z, DRIFT = 500.0, 0.5, 2.5, 3.0, 0.25
@@ -165,7 +165,7 @@ def train(rows: DataFrame) -> Model:
     scored = counted.select(
         "word", "clean", (odds("toxic", toxic) - odds("clean", clean)).alias("odds"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("sd")
     ).where((F.col("odds") >= LEAST_ODDS) & (F.col("odds") >= LEAST_Z * F.col("sd")))
-    kept = scored.orderBy(F.desc(F.col("odds") / F.col("sd")), "word").limit(MAX_TERMS).collect()
+    kept = scored.orderBy("word").collect()  # bounded by the words of the training texts
     terms = {r["word"]: r["odds"] for r in kept}
     model = Model(terms, _rate(terms, {r["word"]: r["clean"] for r in kept}, clean))
 
@@ -179,7 +179,10 @@ def train(rows: DataFrame) -> Model:
     if null:  # exp(-z) of the best chance segment is exponential with rate K; a text without one counts as z = 0
         model.scale = min(1.0, max(1e-6, len(null) / sum(math.exp(-z) for z in null)))
     x = np.log1p([evidence(r["z"], model.scale) for r in got])
-    model.floor, model.slope = _logistic(x, np.array([r["toxic"] for r in got], float))
+    y = np.array([r["toxic"] for r in got], float)
+    model.floor, model.slope = _logistic(x, y)
+    if model.slope < 0:  # more evidence never makes a text less likely toxic
+        model.floor, model.slope = _logistic(np.zeros_like(x), y)[0], 0.0
     return model
 
 
@@ -194,7 +197,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> DataFra
     sample = named.where(fold() != 1).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     model = train(store(own.join(F.broadcast(sample), "doc_id").select("text", "toxic").distinct(), "toxic-train"))  # bounded by `most`
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TERMS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
