@@ -34,6 +34,8 @@ RADIUS = 4
 STAGE_WORDS, SIMILARITY, STAGE_RADIUS = 5, 0.8, 6
 #: Comparisons for each row of its open buckets that the stage makes at once; with more to make it first joins components by one row of each bucket.
 PAIRS = 4
+#: Parts that the rows of a bucket are dealt to when they are compared with one another.
+SALTS = 16
 #: Fingerprints of a bucket that one comparison takes on each side.
 BLOCK = 1500
 
@@ -252,7 +254,11 @@ def similar(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMIL
 def _across(mixed: DataFrame, others: DataFrame, radius: int) -> DataFrame:
     """Pairs (a, b) within the radius of a bucket's rows and its ``others`` (bucket, other, fp_a, other_root), of different components."""
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_a"))) <= radius
-    pairs = mixed.join(others, "bucket").where((F.col("root") != F.col("other_root")) & close)
+    # rows are few and pairs many: dealt by bucket and salt, so that a hot bucket is not the work of one task
+    spread, salts = partitions(mixed.sparkSession), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    own = mixed.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(SALTS)).cast("int")).repartition(spread, "bucket", "salt")
+    others = others.withColumn("salt", F.explode(salts)).repartition(spread, "bucket", "salt")
+    pairs = own.join(others.hint("merge"), ["bucket", "salt"]).where((F.col("root") != F.col("other_root")) & close)
     return pairs.select(F.least("nid", "other").alias("a"), F.greatest("nid", "other").alias("b")).distinct()
 
 
