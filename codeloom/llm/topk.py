@@ -5,12 +5,15 @@ table, so that the leading coordinates carry most of an inner product; the rest
 the residual norms (Cauchy-Schwarz). The block of the longest vectors gives each query a first k-th score;
 a later block is visited only if the product of norms can reach it, and within a block only candidates whose
 partial sum plus residual bound can reach it are scored. Scores are exact integers; the rotation decides
-only what is skipped, with a margin far above its rounding error.
+only what is skipped, with a margin far above its rounding error. Blocks are at most BLOCKS; beyond that each
+is dealt in salted shares, so the tasks that meet candidates grow with the table.
 
 Vectors that are null, empty or hold null or non-finite components take no part. Shorter vectors count as
 padded with zeros. Ties go to the smaller vec_id; rows that share a vec_id are all candidates of other ids, and
-a row is excluded from its own query by its id. Rows without an id take no part. An empty table gives an
-empty result; extra columns are ignored.
+a row is excluded from its own query by its id. Query rows that share an id have one ranking, of the pairs of
+any of them with any candidate. Rows without an id take no part. Coordinates beyond the first ROTATED are not
+rotated and count in the residual; pieces of very long vectors hold fewer rows. An empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, store
+from .common import partitions, slices, store
 
 K, EVERY, SCALE = 20, 20, 64
 #: Leading rotated coordinates of the partial sums, rows of a block's piece, queries of a batch, and blocks at most.
 LEAD, PIECE, BATCH, BLOCKS = 16, 4096, 512, 1024
+#: Coordinates that are rotated at most, and numbers of a piece at most.
+ROTATED, CELLS = 1024, 1 << 22
 MARGIN = 1e-6
 
 
@@ -53,7 +58,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def rotation(rows: DataFrame, width: int) -> np.ndarray:
-    """Singular directions of the table as columns, largest first, from sums of products made in each task."""
+    """Singular directions of the table's first ``width`` coordinates as columns, largest first, from sums of products made in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
@@ -62,7 +67,7 @@ def rotation(rows: DataFrame, width: int) -> np.ndarray:
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "sums"])
 
-    sums = rows.select("v").mapInArrow(run, "row int, sums array<double>").select("row", F.posexplode("sums").alias("at", "x"))
+    sums = rows.select(F.slice("v", 1, width)).mapInArrow(run, "row int, sums array<double>").select("row", F.posexplode("sums").alias("at", "x"))
     got = sums.groupBy("row", "at").agg(F.sum("x").alias("x")).collect()  # width x width numbers
     gram = np.zeros((width, width))
     for r in got:
@@ -72,33 +77,34 @@ def rotation(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _blobs(rows: DataFrame, width: int, size: int) -> DataFrame:
-    """Rows of a partition packed into blobs of at most ``size`` vectors of one block."""
+    """Rows of a partition packed into blobs of at most ``size`` vectors of one share (salt) of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(block: int, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        def out(block: int, salt: int, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
             norm = float(np.sqrt((m.astype(float) ** 2).sum(1).max()))
             return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int32()), pa.array([norm]), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["block", "top", "ids", "m"]
+                [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([norm]), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())],
+                names=["block", "salt", "top", "ids", "m"],
             )
 
-        for b in batches:
-            blocks, ids, m = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), width)
-            for own in np.unique(blocks).tolist():
-                at = np.flatnonzero(blocks == own)
-                for i in range(0, len(at), size):
-                    yield out(own, ids[at[i : i + size]], m[at[i : i + size]])
+        for b in slices(batches, size):
+            blocks, salts, ids, m = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), width)
+            for own, salt in sorted(set(zip(blocks.tolist(), salts.tolist(), strict=True))):
+                at = np.flatnonzero((blocks == own) & (salts == salt))
+                yield out(own, salt, ids[at], m[at])
 
-    return rows.select("block", "vec_id", "v").mapInArrow(run, "block int, top double, ids binary, m binary")
+    return rows.select("block", "salt", "vec_id", "v").mapInArrow(run, "block int, salt int, top double, ids binary, m binary")
 
 
 def best(ids: np.ndarray, q: np.ndarray, cand_ids: np.ndarray, c: np.ndarray, turn: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the (ids, scores) of its k best among these candidates that reach ``least``."""
-    rq, rc = q @ turn, c @ turn
-    lead = min(LEAD, q.shape[1])
-    part = rq[:, :lead] @ rc[:, :lead].T
-    rest_q, rest_c = np.linalg.norm(rq[:, lead:], axis=1), np.linalg.norm(rc[:, lead:], axis=1)
-    bound = part + np.outer(rest_q, rest_c)
-    bound += MARGIN * (1 + np.abs(bound)) + MARGIN * np.outer(np.linalg.norm(rq, axis=1), np.linalg.norm(rc, axis=1))
+    lead = min(LEAD, len(turn))
+    rq, rc = q[:, : len(turn)] @ turn[:, :lead], c[:, : len(turn)] @ turn[:, :lead]
+    all_q, all_c = np.linalg.norm(q.astype(float), axis=1), np.linalg.norm(c.astype(float), axis=1)
+    # a rotation keeps lengths, so what the leading coordinates leave is the rest; its rounding is covered by the margin of the full lengths
+    rest_q, rest_c = (np.sqrt(np.maximum(0, n**2 - (r**2).sum(1))) for n, r in ((all_q, rq), (all_c, rc)))
+    bound = rq @ rc.T + np.outer(rest_q, rest_c)
+    bound += MARGIN * (1 + np.abs(bound)) + MARGIN * np.outer(all_q, all_c)
     for i in range(len(ids)):
         floor = -np.inf if least is None else least[i]
         at = np.flatnonzero(bound[i] >= floor)
@@ -132,17 +138,20 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if (longest or 0) >= 2.0**31:
         raise ValueError("components too large for exact 64-bit scores")
-    turn = rotation(rows, width)
+    turn = rotation(rows, min(width, ROTATED))
+    piece, batch = (max(1, min(most, CELLS // width)) for most in (PIECE, BATCH))
     # Blocks by descending norm: quantiles cut the range, so that a block holds about n / blocks rows.
-    blocks = int(min(BLOCKS, max(1, n // PIECE)))
+    blocks = int(min(BLOCKS, max(1, n // piece)))
+    salts = int(max(1, n // (blocks * piece)))
     cuts = sorted(set(rows.approxQuantile("norm", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
     edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None
     block = F.size(F.filter(edges, lambda e: e > F.col("norm"))) if cuts else F.lit(0)
-    dealt = rows.withColumn("block", block.cast("int"))
-    shards = partitions(spark)
-    candidates = store(_blobs(dealt.repartition(shards, "block", F.pmod(F.xxhash64("vec_id"), F.lit(64))), width, PIECE), "candidates")
-    queries = store(_blobs(dealt.where(is_query), width, BATCH), "queries").withColumn("batch", F.monotonically_increasing_id())
-    queries = store(queries, "query-batches")
+    # the salt is a hash of the row, so that a task made again after a loss deals the same rows
+    own = F.xxhash64("vec_id", "v")
+    dealt = rows.withColumns({"block": block.cast("int"), "salt": F.pmod(own, F.lit(salts)).cast("int")})
+    shares = dealt.repartition(max(partitions(spark), blocks), "block", "salt", F.pmod(F.shiftright(own, 32), F.lit(8)))
+    candidates = store(_blobs(shares.sortWithinPartitions("block", "salt"), width, piece), "candidates")
+    queries = store(_blobs(dealt.where(is_query).withColumn("salt", F.lit(0)), width, batch), "queries")
     tops = {r["block"]: r["top"] for r in candidates.groupBy("block").agg(F.max("top").alias("top")).collect()}  # at most BLOCKS rows
     head = candidates.orderBy(F.desc("top")).limit(1).collect()[0]  # one blob of at most PIECE vectors
     shared = spark.sparkContext.broadcast((turn, tops, np.frombuffer(head["ids"], np.int64), np.frombuffer(head["m"], np.int64).reshape(-1, width)))
@@ -151,7 +160,7 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
         """Each batch of queries with the k-th scores from the longest candidates, once for each block that can reach one of them."""
         turn, tops, head_ids, head_m = shared.value
         for b in batches:
-            for ids, m, batch in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for ids, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own, q = np.frombuffer(ids, np.int64), np.frombuffer(m, np.int64).reshape(-1, width)
                 least = np.full(len(own), np.iinfo(np.int64).min // 2)
                 for i, _, score in best(own, q, head_ids, head_m, turn, k):
@@ -166,7 +175,7 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
                             names=["block", "q_ids", "q_m", "least"],
                         )
 
-    visits = queries.select("block", "top", "ids", "m", "batch").mapInArrow(first, "block int, q_ids binary, q_m binary, least binary")
+    visits = queries.select("ids", "m").mapInArrow(first, "block int, q_ids binary, q_m binary, least binary")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = shared.value[0]
@@ -180,6 +189,8 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
                     ss.append(score)
                 yield _pairs(qs, vs, ss)
 
-    met = visits.join(candidates.select("block", "ids", "m"), "block").select("q_ids", "q_m", "least", "ids", "m").mapInArrow(visit, PAIRS)
+    visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = visits.join(candidates.select("block", "salt", "ids", "m"), ["block", "salt"]).select("q_ids", "q_m", "least", "ids", "m").mapInArrow(visit, PAIRS)
+    # of each task's rows the k best are kept before the exchange (a limit on row_number, as Spark plans it)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -5,7 +5,7 @@ import math
 import re
 import struct
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -474,6 +474,29 @@ def test_weights_are_never_negative():
 # --- op10
 
 
+def test_topk_many_blocks(spark, monkeypatch):
+    """Norms of three scales in many blocks and salted shares, a third of the rows one vector, repeated ids, one vector longer than what is rotated."""
+    monkeypatch.setattr(topk, "PIECE", 30)
+    monkeypatch.setattr(topk, "BLOCKS", 8)
+    monkeypatch.setattr(topk, "ROTATED", 12)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=12) * 10.0 ** (i % 3)).tolist()) for i in range(1, 700)]
+    rows += [(i, rows[7][1]) for i in range(700, 1050)] + [(60, rows[3][1]), (1100, rng.normal(size=40).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(frame, k=7).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    m = np.zeros((len(rows), 40), np.int64)
+    for k, (_, v) in enumerate(rows):
+        m[k, : len(v)] = np.floor(64 * np.array(v))
+    ids = np.array([i for i, _ in rows])
+    want = {}
+    for q in {int(i) for i in ids if i % 20 == 0}:
+        pairs = [(int(i), int(s)) for at in np.flatnonzero(ids == q) for i, s in zip(ids, m @ m[at], strict=True) if i != q]
+        want[q] = sorted(pairs, key=lambda x: (-x[1], x[0]))[:7]
+    assert dict(got) == want
+
+
 def test_topk(spark, sf):
     rows = [tuple(r) for r in read(spark, sf, "embeddings").select("vec_id", "embedding").collect()]
     rows += [(10_000, None), (10_020, [None, 1.0]), (10_040, [float("nan")] * 64), (10_060, rows[0][1]), (10_060, rows[0][1]), (10_080, [0.5]), (None, rows[1][1])]
