@@ -160,37 +160,52 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
         """Each batch of queries with the k-th scores from the longest candidates, once for each block that can reach one of them."""
         turn, tops, head_ids, head_m = shared.value
         for b in batches:
-            for ids, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for ids, m, batch in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 own, q = np.frombuffer(ids, np.int64), np.frombuffer(m, np.int64).reshape(-1, width)
                 least = np.full(len(own), np.iinfo(np.int64).min // 2)
                 for i, _, score in best(own, q, head_ids, head_m, turn, k):
                     if len(score) == k:
                         least[i] = score[-1]
                 norms = np.linalg.norm(q.astype(float), axis=1)
-                for to, top in tops.items():
+                for to, top in sorted(tops.items(), key=lambda x: -x[1]):
                     some = np.flatnonzero(norms * top * (1 + MARGIN) + MARGIN >= least)
                     if len(some):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([to], pa.int32()), pa.array([own[some].tobytes()], pa.binary()), pa.array([q[some].tobytes()], pa.binary()), pa.array([least[some].tobytes()], pa.binary())],
-                            names=["block", "q_ids", "q_m", "least"],
+                            [pa.array([to], pa.int32()), pa.array([batch], pa.int64()), pa.array([own[some].tobytes()], pa.binary()), pa.array([q[some].tobytes()], pa.binary()), pa.array([least[some].tobytes()], pa.binary())],
+                            names=["block", "batch", "q_ids", "q_m", "least"],
                         )
 
-    visits = queries.select("ids", "m").mapInArrow(first, "block int, q_ids binary, q_m binary, least binary")
+    visits = queries.select("ids", "m", F.xxhash64("ids").alias("batch")).mapInArrow(first, "block int, batch long, q_ids binary, q_m binary, least binary")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = shared.value[0]
+        now, held = None, {}  # the k best so far of the queries of one batch, whose visits follow one another
+
+        def out() -> pa.RecordBatch:
+            return _pairs([np.full(len(v), i) for i, (v, _) in held.items()], [v for v, _ in held.values()], [s for _, s in held.values()])
+
         for b in batches:
-            for q_ids, q_m, least, ids, m in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+            for batch, q_ids, q_m, least, ids, m in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                if batch != now:
+                    yield out()
+                    now, held = batch, {}
                 own, q = np.frombuffer(q_ids, np.int64), np.frombuffer(q_m, np.int64).reshape(-1, width)
-                qs, vs, ss = [], [], []
-                for i, v, score in best(own, q, np.frombuffer(ids, np.int64), np.frombuffer(m, np.int64).reshape(-1, width), turn, k, np.frombuffer(least, np.int64)):
-                    qs.append(np.full(len(v), own[i]))
-                    vs.append(v)
-                    ss.append(score)
-                yield _pairs(qs, vs, ss)
+                floor = np.frombuffer(least, np.int64).copy()
+                for i, x in enumerate(own.tolist()):
+                    if x in held and len(held[x][1]) == k:
+                        floor[i] = max(floor[i], held[x][1][-1])
+                for i, v, score in best(own, q, np.frombuffer(ids, np.int64), np.frombuffer(m, np.int64).reshape(-1, width), turn, k, floor):
+                    if len(v):
+                        x = int(own[i])
+                        if x in held:
+                            v, score = np.concatenate([held[x][0], v]), np.concatenate([held[x][1], score])
+                            order = np.lexsort((v, -score))[:k]
+                            v, score = v[order], score[order]
+                        held[x] = v, score
+        yield out()
 
     visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = visits.join(candidates.select("block", "salt", "ids", "m"), ["block", "salt"]).select("q_ids", "q_m", "least", "ids", "m").mapInArrow(visit, PAIRS)
+    met = visits.join(candidates.select("block", "salt", "ids", "m"), ["block", "salt"]).select("batch", "q_ids", "q_m", "least", "ids", "m").mapInArrow(visit, PAIRS)
     # of each task's rows the k best are kept before the exchange (a limit on row_number, as Spark plans it)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
