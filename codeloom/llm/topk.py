@@ -18,6 +18,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from .common import partitions, slices, store
 K, EVERY, SCALE = 20, 20, 64
 #: Leading rotated coordinates of the partial sums, rows of a block's piece, queries of a batch, and blocks at most.
 LEAD, PIECE, BATCH, BLOCKS = 16, 4096, 512, 1024
-#: Coordinates that are rotated at most, and numbers of a piece at most.
-ROTATED, CELLS = 1024, 1 << 22
+#: Coordinates that are rotated at most, numbers of a piece at most, query batches whose best a task keeps at a time.
+ROTATED, CELLS, OPEN = 1024, 1 << 22, 64
 MARGIN = 1e-6
 
 
@@ -179,16 +180,17 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = shared.value[0]
-        now, held = None, {}  # the k best so far of the queries of one batch, whose visits follow one another
+        opened: OrderedDict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = OrderedDict()  # by batch and query: the k best so far
 
-        def out() -> pa.RecordBatch:
+        def out(held: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             return _pairs([np.full(len(v), i) for i, (v, _) in held.items()], [v for v, _ in held.values()], [s for _, s in held.values()])
 
         for b in batches:
             for batch, q_ids, q_m, least, ids, m in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
-                if batch != now:
-                    yield out()
-                    now, held = batch, {}
+                held = opened.setdefault(batch, {})
+                opened.move_to_end(batch)
+                if len(opened) > OPEN:  # the batch that was not visited for longest gives what it has; the rest of its visits add to that
+                    yield out(opened.popitem(last=False)[1])
                 own, q = np.frombuffer(q_ids, np.int64), np.frombuffer(q_m, np.int64).reshape(-1, width)
                 floor = np.frombuffer(least, np.int64).copy()
                 for i, x in enumerate(own.tolist()):
@@ -202,7 +204,8 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
                             order = np.lexsort((v, -score))[:k]
                             v, score = v[order], score[order]
                         held[x] = v, score
-        yield out()
+        for held in opened.values():
+            yield out(held)
 
     visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = visits.join(candidates.select("block", "salt", "ids", "m"), ["block", "salt"]).select("batch", "q_ids", "q_m", "least", "ids", "m").mapInArrow(visit, PAIRS)
