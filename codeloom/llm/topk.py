@@ -152,7 +152,7 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
     dealt = rows.withColumns({"block": block.cast("int"), "salt": F.pmod(own, F.lit(salts)).cast("int")})
     shares = dealt.repartition(max(partitions(spark), blocks), "block", "salt", F.pmod(F.shiftright(own, 32), F.lit(8)))
     candidates = store(_blobs(shares.sortWithinPartitions("block", "salt"), width, piece), "candidates")
-    queries = store(_blobs(dealt.where(is_query).withColumn("salt", F.lit(0)), width, batch), "queries")
+    queries = store(_blobs(dealt.where(is_query).withColumns({"block": F.lit(0), "salt": F.lit(0)}), width, batch), "queries")  # full batches, of any length
     tops = {r["block"]: r["top"] for r in candidates.groupBy("block").agg(F.max("top").alias("top")).collect()}  # at most BLOCKS rows
     head = candidates.orderBy(F.desc("top")).limit(1).collect()[0]  # one blob of at most PIECE vectors
     shared = spark.sparkContext.broadcast((turn, tops, np.frombuffer(head["ids"], np.int64), np.frombuffer(head["m"], np.int64).reshape(-1, width)))
