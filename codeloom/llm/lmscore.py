@@ -2,7 +2,7 @@
 
 Documents are packed into chunks of bounded size. A chunk sends each distinct n-gram once, as sorted 64-bit hashes cut
 by hash range, to the partition that keeps the counts of that range; the partition adds up all chunks and
-answers each with the totals of its n-grams, in the same order. Orders follow one another. Back in the chunk, totals less the document's
+answers each with the totals of its n-grams, in the same order. Back in the chunk, totals less the document's
 own counts give the score of each word: the highest order whose n-gram occurs elsewhere, over the count of
 its context, with a factor BACKOFF for each order passed over. Sums of logarithms per document are the result.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -134,35 +133,33 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
         own = [zlib.compress(x.tobytes(), 1) for x in np.split(totals, sizes)]
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "n": table.column("n"), "totals": pa.array(own, pa.binary())})
 
-    def answers(k: int) -> DataFrame:
-        """What all chunks are told about their n-grams of one order."""
+    def answers() -> DataFrame:
+        """What all chunks are told about their n-grams."""
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for chunk, counts, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     words, _, first = _positions(counts, blob)
-                    own, n = np.unique(ngram_hashes(words, first, k), return_counts=True)
-                    cut = [0, *np.searchsorted(own, edges).tolist(), len(own)]
-                    some = [p for p in range(parts) if cut[p] < cut[p + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(some, pa.int32()), pa.array([k] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int64()),
-                            pa.array([_pack(own[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-                            pa.array([zlib.compress(n[cut[p] : cut[p + 1]].astype("<u4").tobytes(), 1) for p in some], pa.binary()),
-                        ],
-                        names=["part", "n", "chunk", "hashes", "counts"],
-                    )
+                    for k in range(1, order + 1):
+                        own, n = np.unique(ngram_hashes(words, first, k), return_counts=True)
+                        cut = [0, *np.searchsorted(own, edges).tolist(), len(own)]
+                        some = [p for p in range(parts) if cut[p] < cut[p + 1]]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(some, pa.int32()), pa.array([k] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int64()),
+                                pa.array([_pack(own[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+                                pa.array([zlib.compress(n[cut[p] : cut[p + 1]].astype("<u4").tobytes(), 1) for p in some], pa.binary()),
+                            ],
+                            names=["part", "n", "chunk", "hashes", "counts"],
+                        )
 
         asked = held.select("chunk", "words", "text").mapInArrow(explode, "part int, n int, chunk long, hashes binary, counts binary")
         return asked.groupBy("part", "n").applyInArrow(add, "chunk long, part int, n int, totals binary")
 
-    # one order after the other: the exchange of an order is let go before that of the next
-    stored = []
-    for k in range(1, order + 1):
-        with steps(spark):
-            stored.append(result(answers(k), f"lm-answers-{k}"))
+    with steps(spark):  # the exchange of n-grams is let go before the answers travel
+        stored = result(answers(), "lm-answers")
     # a chunk has one answer for each part and order it asked
-    told = reduce(DataFrame.unionByName, stored).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("n", "part", "totals"))).alias("told"))
+    told = stored.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("n", "part", "totals"))).alias("told"))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
