@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -97,6 +97,14 @@ def _blobs(rows: DataFrame, width: int, size: int) -> DataFrame:
     return rows.select("block", "salt", "vec_id", "v").mapInArrow(run, "block int, salt int, top double, ids binary, m binary")
 
 
+def longest_blob(candidates: DataFrame) -> Row:
+    """The blob of the longest vectors, at most PIECE of them. Blobs aren't ordered, as each task would send the driver one of its own."""
+    names = ["top", "block", "salt", "own"]
+    named = candidates.withColumn("own", F.xxhash64("ids"))
+    at = named.agg(F.max(F.struct(*names)).alias("at")).first()["at"]
+    return named.where(F.struct(*names) == F.struct(*[F.lit(at[c]) for c in names])).select("ids", "m").limit(1).collect()[0]
+
+
 def best(ids: np.ndarray, q: np.ndarray, cand_ids: np.ndarray, c: np.ndarray, turn: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the (ids, scores) of its k best among these candidates that reach ``least``."""
     lead = min(LEAD, len(turn))
@@ -154,7 +162,7 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
     candidates = store(_blobs(shares.sortWithinPartitions("block", "salt"), width, piece), "candidates")
     queries = store(_blobs(dealt.where(is_query).withColumns({"block": F.lit(0), "salt": F.lit(0)}), width, batch), "queries")  # full batches, of any length
     tops = {r["block"]: r["top"] for r in candidates.groupBy("block").agg(F.max("top").alias("top")).collect()}  # at most BLOCKS rows
-    head = candidates.orderBy(F.desc("top")).limit(1).collect()[0]  # one blob of at most PIECE vectors
+    head = longest_blob(candidates)
     shared = spark.sparkContext.broadcast((turn, tops, np.frombuffer(head["ids"], np.int64), np.frombuffer(head["m"], np.int64).reshape(-1, width)))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
