@@ -15,12 +15,13 @@ An empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, partitions, result, slices, steps, store, text_or_empty
@@ -33,9 +34,13 @@ RADIUS = 4
 #: The pipeline's stage: words of a shingle, similarity of a link, and bits in which the fingerprints of its candidates' words may differ.
 STAGE_WORDS, SIMILARITY, STAGE_RADIUS = 5, 0.8, 6
 #: Comparisons for each row of its open buckets that the stage makes at once; with more to make it first joins components by one row of each bucket.
-PAIRS = 4
+PAIRS = 64
+#: A round of joining components by one row of each bucket is the last one if it finds less than a link for so many of these rows.
+PAYS = 100
 #: Parts that the rows of a bucket are dealt to when they are compared with one another.
 SALTS = 16
+#: Texts that show which shingles are frequent, how many of these must hold one, and how many such shingles are told to the tasks at most.
+SHOWN, FREQUENT, TOLD = 1 << 14, 8, 1 << 16
 #: Fingerprints of a bucket that one comparison takes on each side.
 BLOCK = 1500
 
@@ -167,13 +172,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_fingerprint(text: str) -> int:
-    """The 64-bit fingerprint of the distinct words of a text: a few changed words turn few of its bits, where shingles would turn many."""
-    own = set(text.encode("utf-8", "surrogatepass").lower().split())
-    if not own:
+def _word_hashes(text: str) -> np.ndarray:
+    own = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), np.uint64, len(own))
+
+
+def word_fingerprint(text: str | np.ndarray) -> int:
+    """The 64-bit fingerprint of the distinct words of a text (or of their hashes): a few changed words turn few of its bits, where shingles would turn many."""
+    own = np.unique(_word_hashes(text) if isinstance(text, str) else text)
+    if not len(own):
         return 0
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), "<u8", len(own))
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ones = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0])
 
 
@@ -182,6 +191,46 @@ def shingles(text: str, words: int) -> set[bytes]:
     return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
 
 
+def shingle_hashes(text: str | np.ndarray, words: int) -> np.ndarray:
+    """The hashes of the distinct shingles of a text (or of the hashes of its words), ascending."""
+    h = _word_hashes(text) if isinstance(text, str) else text
+    n = max(1, len(h) - words + 1)
+    mixed = np.full(n, min(len(h), words), np.uint64)
+    for i in range(min(len(h), words)):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(mixed ^ (mixed >> np.uint64(32)))
+
+
+def frequent(texts: DataFrame, words: int) -> np.ndarray:
+    """Hashes of shingles that many of some SHOWN texts (node, text) hold, ascending, TOLD at most. They only come last in an order, so any choice is right."""
+    turn = max(1, texts.count() // SHOWN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            found = [shingle_hashes(t, words) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(turn)) == 0).select("text")
+    counts = store(some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT), "near-frequent")
+    least, told = None, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("hashes")).orderBy(F.desc("n")).collect():  # a row for each count
+        told += r["hashes"]
+        if told > TOLD:
+            break
+        least = r["n"]
+    found = [] if least is None else [r["h"] for r in counts.where(F.col("n") >= least).select("h").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def prefix(hashes: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes, those in ``last`` behind all others, of which two texts of that similarity have one in common: a text shares all but so many less one."""
+    if len(last):
+        late = last[np.minimum(np.searchsorted(last, hashes), len(last) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts share enough of their shingles, by exact count."""
 
@@ -204,35 +253,44 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
 def similar(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> tuple[DataFrame, DataFrame]:
     """(texts, roots): node (of the text), nid and first (least doc_id) of each distinct text, and (node, root) of the nids that have a similar text.
 
-    Candidates are texts whose word fingerprints differ in at most ``radius`` bits; the covering masks lose none of them. A bucket's texts are held
-    against its least one; only those that this leaves outside that one's component are held against texts of other components. A link is a pair
-    whose ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+    A link is a pair whose word fingerprints differ in at most ``radius`` bits and whose ``words``-word shingles have a Jaccard similarity of
+    ``similarity`` or more. Such a pair has a shingle in common among the first of each in any order of all shingles, so these are the buckets and
+    none is lost; covering masks of the fingerprints put texts together that have the same common words, more pairs by far. Frequent shingles come
+    last in the order. A bucket's texts are held against its least one; only those that this leaves outside that one's component are held against
+    texts of other components.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            own = np.array([word_fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own)], names=["doc_id", "node", "fp"])
-
     spread = partitions(docs.sparkSession)  # small tables that much is made of are dealt to all tasks
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_or_empty())).alias("node"), text_or_empty().alias("text")).where("doc_id is not null")
-    rows = store(named.mapInArrow(run, "doc_id long, node binary, fp long"), "near-rows")
-    distinct = store(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("first")).repartition(spread, "node").withColumn("nid", F.monotonically_increasing_id()), "near-texts")
-    tables = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks(radius))])
-    shared = store(distinct.select(F.explode(tables).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
-    met = store(distinct.select("nid", "fp", F.explode(tables).alias("bucket")).join(shared, "bucket"), "near-met")
-    low = met.groupBy("bucket").agg(F.min("nid").alias("a"), F.min_by("fp", "nid").alias("fp_a"))
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-    star = store(met.join(low, "bucket").where((F.col("nid") != F.col("a")) & close("fp", "fp_a")).select("a", F.col("nid").alias("b")).distinct(), "near-star")
+    last = docs.sparkSession.sparkContext.broadcast(frequent(named.select("node", "text"), words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            texts = [_word_hashes(t) for t in b.column(2).to_pylist()]
+            own = np.array([word_fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            hashes = [shingle_hashes(t, words) for t in texts]
+            first = [prefix(h, last.value, similarity).view(np.int64) for h in hashes]
+            columns = [b.column(0), b.column(1), pa.array(own), pa.array(list(map(len, hashes)), pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "size", "first_hashes"])
+
+    rows = store(named.mapInArrow(run, "doc_id long, node binary, fp long, size int, first_hashes array<long>"), "near-rows")
+    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "first_hashes")])
+    distinct = store(distinct.repartition(spread, "node").withColumn("nid", F.monotonically_increasing_id()), "near-texts")
+    placed = distinct.select("nid", "fp", "size", F.posexplode("first_hashes").alias("at", "bucket"))
+    shared = store(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
+    met = store(placed.join(shared, "bucket"), "near-met")
+    low = met.groupBy("bucket").agg(F.min(F.struct("nid", "fp", "size", "at")).alias("low")).select("bucket", F.col("low.nid").alias("other"), *[F.col(f"low.{c}").alias(f"{c}_a") for c in JUDGED])
+    close = _near(radius, similarity)
+    star = store(met.join(low, "bucket").where((F.col("nid") != F.col("other")) & close).select(F.col("other").alias("a"), F.col("nid").alias("b")).distinct(), "near-star")
     # texts of all that is still to be compared: the star's pairs, and buckets of three or more
     wanted = star.select(F.explode(F.array("a", "b")).alias("nid")).union(met.where("n > 2").select("nid")).distinct()
     wanted = store(distinct.join(wanted, "nid").select("nid", "node"), "near-wanted")
     texts = store(named.join(wanted, "node").select("nid", "text").dropDuplicates(["nid"]), "near-read")
     linked = store(_alike(star, texts, words, similarity), "near-links")
     met, turn = store(met.where("n > 2"), "near-met"), 0
+    names = [("nid", "other"), ("root", "other_root"), *[(c, f"{c}_a") for c in JUDGED]]
     while True:
         roots = store(components(linked), "near-roots")
-        rooted = store(met.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").select("bucket", "nid", "fp", F.coalesce("root", "nid").alias("root")), "near-rooted")
+        rooted = store(met.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").select("bucket", "nid", *JUDGED, F.coalesce("root", "nid").alias("root")), "near-rooted")
         low = rooted.groupBy("bucket").agg(F.min("nid").alias("least"), F.min_by("root", "nid").alias("least_root"), F.countDistinct("root").alias("roots"), F.count("*").alias("n"))
         mixed = store(rooted.join(low.where("roots > 1"), "bucket").repartition(spread, "nid", "bucket"), "near-mixed")
         pairs, rows = mixed.agg(F.coalesce(F.sum(F.when(F.col("root") != F.col("least_root"), F.col("n"))), F.lit(0)), F.count("*")).first()
@@ -240,20 +298,29 @@ def similar(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMIL
         if pairs <= PAIRS * rows:
             break
         # many pairs are left: another member of each bucket is held against all that is in other components, which joins most of them
-        other = outside.groupBy("bucket").agg(*[F.min_by(c, F.xxhash64("nid", F.lit(turn))).alias(n) for c, n in (("nid", "other"), ("fp", "fp_a"), ("root", "other_root"))])
-        found = store(_alike(_across(mixed, other, radius), texts, words, similarity), "near-links")
+        other = outside.groupBy("bucket").agg(*[F.min_by(c, F.xxhash64("nid", F.lit(turn))).alias(n) for c, n in names])
+        found = store(_alike(_across(mixed, other, close), texts, words, similarity), "near-links")
         turn += 1
-        if found.isEmpty():
+        if found.count() * PAYS < rows:
             break
         linked = store(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "near-links")
-    rest = _across(mixed.where(F.col("nid") != F.col("least")), outside.select("bucket", F.col("nid").alias("other"), F.col("fp").alias("fp_a"), F.col("root").alias("other_root")), radius)
+    rest = _across(mixed.where(F.col("nid") != F.col("least")), outside.select("bucket", *[F.col(c).alias(n) for c, n in names]), close)
     more = store(_alike(store(rest, "near-rest"), texts, words, similarity), "near-links")
     return distinct, roots if more.isEmpty() else store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "near-roots")
 
 
-def _across(mixed: DataFrame, others: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b) within the radius of a bucket's rows and its ``others`` (bucket, other, fp_a, other_root), of different components."""
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_a"))) <= radius
+#: What two texts of a bucket are judged by before they are read: fingerprint, number of shingles, and the place there of the bucket's shingle.
+JUDGED = ("fp", "size", "at")
+
+
+def _near(radius: int, similarity: float) -> Column:
+    """Whether a pair may be a link: within the radius, and with enough shingles in common if the bucket's is the first one that is."""
+    common = F.least(F.col("size") - F.col("at"), F.col("size_a") - F.col("at_a"))
+    return (common >= similarity / (1 + similarity) * (F.col("size") + F.col("size_a")) - 1e-6) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_a"))) <= radius)
+
+
+def _across(mixed: DataFrame, others: DataFrame, close: Column) -> DataFrame:
+    """Close pairs (a, b) of a bucket's rows and its ``others`` (bucket, other, other_root and what they are judged by), of different components."""
     # rows are few and pairs many: dealt by bucket and salt, so that a hot bucket is not the work of one task
     spread, salts = partitions(mixed.sparkSession), F.sequence(F.lit(0), F.lit(SALTS - 1))
     own = mixed.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(SALTS)).cast("int")).repartition(spread, "bucket", "salt")
