@@ -77,14 +77,23 @@ def rotation(rows: DataFrame, width: int) -> np.ndarray:
     return np.ascontiguousarray(vectors[:, np.argsort(-values)])
 
 
-def _blobs(rows: DataFrame, width: int, size: int) -> DataFrame:
+def narrow(longest: float) -> np.dtype:
+    """The smallest type of whole numbers for the components of vectors of at most that norm: blobs are exchanged for many pairs of them."""
+    return np.dtype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if longest < np.iinfo(t).max))
+
+
+def _wide(m: bytes, width: int, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(m, kind).reshape(-1, width).astype(np.int64)
+
+
+def _blobs(rows: DataFrame, width: int, size: int, kind: np.dtype) -> DataFrame:
     """Rows of a partition packed into blobs of at most ``size`` vectors of one share (salt) of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(block: int, salt: int, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
             norm = float(np.sqrt((m.astype(float) ** 2).sum(1).max()))
             return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([norm]), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())],
+                [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([norm]), pa.array([ids.tobytes()], pa.binary()), pa.array([m.astype(kind).tobytes()], pa.binary())],
                 names=["block", "salt", "top", "ids", "m"],
             )
 
@@ -114,6 +123,11 @@ def best(ids: np.ndarray, q: np.ndarray, cand_ids: np.ndarray, c: np.ndarray, tu
     rest_q, rest_c = (np.sqrt(np.maximum(0, n**2 - (r**2).sum(1))) for n, r in ((all_q, rq), (all_c, rc)))
     bound = rq @ rc.T + np.outer(rest_q, rest_c)
     bound += MARGIN * (1 + np.abs(bound)) + MARGIN * np.outer(all_q, all_c)
+    # where many pass, one product of the matrices scores them; floats are exact, as no sum exceeds the norms' product
+    full = None
+    if least is not None and len(c) and len(q) and float(all_q.max()) * float(all_c.max()) < 2.0**52 and 32 * np.count_nonzero(bound >= least[:, None]) > bound.size:
+        full = q.astype(float) @ c.astype(float).T
+    scores = lambda i, at: c[at] @ q[i] if full is None else full[i][at].astype(np.int64)
     for i in range(len(ids)):
         floor = -np.inf if least is None else least[i]
         at = np.flatnonzero(bound[i] >= floor)
@@ -122,7 +136,7 @@ def best(ids: np.ndarray, q: np.ndarray, cand_ids: np.ndarray, c: np.ndarray, tu
             first = at[np.argpartition(-bound[i][at], k - 1)[:k]]
             floor = np.sort(c[first] @ q[i])[0]
             at = at[bound[i][at] >= floor]
-        score = c[at] @ q[i]
+        score = scores(i, at)
         keep = score >= floor
         at, score = at[keep], score[keep]
         order = np.lexsort((cand_ids[at], -score))[:k]
@@ -148,6 +162,7 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
     if (longest or 0) >= 2.0**31:
         raise ValueError("components too large for exact 64-bit scores")
     turn = rotation(rows, min(width, ROTATED))
+    kind = narrow(longest or 0)
     piece, batch = (max(1, min(most, CELLS // width)) for most in (PIECE, BATCH))
     # Blocks by descending norm: quantiles cut the range, so that a block holds about n / blocks rows.
     blocks = int(min(BLOCKS, max(1, n // piece)))
@@ -159,18 +174,18 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
     own = F.xxhash64("vec_id", "v")
     dealt = rows.withColumns({"block": block.cast("int"), "salt": F.pmod(own, F.lit(salts)).cast("int")})
     shares = dealt.repartition(max(partitions(spark), blocks), "block", "salt", F.pmod(F.shiftright(own, 32), F.lit(8)))
-    candidates = store(_blobs(shares.sortWithinPartitions("block", "salt"), width, piece), "candidates")
-    queries = store(_blobs(dealt.where(is_query).withColumns({"block": F.lit(0), "salt": F.lit(0)}), width, batch), "queries")  # full batches, of any length
+    candidates = store(_blobs(shares.sortWithinPartitions("block", "salt"), width, piece, kind), "candidates")
+    queries = store(_blobs(dealt.where(is_query).withColumns({"block": F.lit(0), "salt": F.lit(0)}), width, batch, kind), "queries")  # full batches, of any length
     tops = {r["block"]: r["top"] for r in candidates.groupBy("block").agg(F.max("top").alias("top")).collect()}  # at most BLOCKS rows
     head = longest_blob(candidates)
-    shared = spark.sparkContext.broadcast((turn, tops, np.frombuffer(head["ids"], np.int64), np.frombuffer(head["m"], np.int64).reshape(-1, width)))
+    shared = spark.sparkContext.broadcast((turn, tops, np.frombuffer(head["ids"], np.int64), _wide(head["m"], width, kind)))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each batch of queries with the k-th scores from the longest candidates, once for each block that can reach one of them."""
         turn, tops, head_ids, head_m = shared.value
         for b in batches:
             for ids, m, batch in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                own, q = np.frombuffer(ids, np.int64), np.frombuffer(m, np.int64).reshape(-1, width)
+                own, q = np.frombuffer(ids, np.int64), _wide(m, width, kind)
                 least = np.full(len(own), np.iinfo(np.int64).min // 2)
                 for i, _, score in best(own, q, head_ids, head_m, turn, k):
                     if len(score) == k:
@@ -180,7 +195,7 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
                     some = np.flatnonzero(norms * top * (1 + MARGIN) + MARGIN >= least)
                     if len(some):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([to], pa.int32()), pa.array([batch], pa.int64()), pa.array([own[some].tobytes()], pa.binary()), pa.array([q[some].tobytes()], pa.binary()), pa.array([least[some].tobytes()], pa.binary())],
+                            [pa.array([to], pa.int32()), pa.array([batch], pa.int64()), pa.array([own[some].tobytes()], pa.binary()), pa.array([q[some].astype(kind).tobytes()], pa.binary()), pa.array([least[some].tobytes()], pa.binary())],
                             names=["block", "batch", "q_ids", "q_m", "least"],
                         )
 
@@ -199,12 +214,12 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
                 opened.move_to_end(batch)
                 if len(opened) > OPEN:  # the batch that was not visited for longest gives what it has; the rest of its visits add to that
                     yield out(opened.popitem(last=False)[1])
-                own, q = np.frombuffer(q_ids, np.int64), np.frombuffer(q_m, np.int64).reshape(-1, width)
+                own, q = np.frombuffer(q_ids, np.int64), _wide(q_m, width, kind)
                 floor = np.frombuffer(least, np.int64).copy()
                 for i, x in enumerate(own.tolist()):
                     if x in held and len(held[x][1]) == k:
                         floor[i] = max(floor[i], held[x][1][-1])
-                for i, v, score in best(own, q, np.frombuffer(ids, np.int64), np.frombuffer(m, np.int64).reshape(-1, width), turn, k, floor):
+                for i, v, score in best(own, q, np.frombuffer(ids, np.int64), _wide(m, width, kind), turn, k, floor):
                     if len(v):
                         x = int(own[i])
                         if x in held:
@@ -216,7 +231,10 @@ def top_k(vectors: DataFrame, k: int = K, is_query: Column | None = None, scale:
             yield out(held)
 
     visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = visits.join(candidates.select("block", "salt", "ids", "m"), ["block", "salt"]).select("batch", "q_ids", "q_m", "least", "ids", "m").mapInArrow(visit, PAIRS)
+    # never a broadcast: each block's visits hold the queries anew, so they are many times the stored queries by which Spark judges their size
+    # and as many parts as blocks, whatever their bytes: small blobs are much work
+    visits, met = (x.repartition(max(partitions(spark), blocks), "block", "salt") for x in (visits, candidates.select("block", "salt", "ids", "m")))
+    met = visits.join(met.hint("merge"), ["block", "salt"]).select("batch", "q_ids", "q_m", "least", "ids", "m").mapInArrow(visit, PAIRS)
     # of each task's rows the k best are kept before the exchange (a limit on row_number, as Spark plans it)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
